@@ -71,7 +71,7 @@ def occurrences(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFram
         if not slop:
             return hit.select("id", "h", at.alias("start"), "phrase", "len", "k")
         shift = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-slop), F.lit(slop)))
-        return hit.select("id", "h", (at + F.explode(shift)).alias("start"), "phrase", "len", "k").distinct()
+        return hit.withColumn("d", F.explode(shift)).select("id", "h", (at + F.col("d")).alias("start"), "phrase", "len", "k").distinct()
 
     first = starts(ranked.where(F.col("k") <= RAREST), index).groupBy("id", "h", "start", "phrase", "len").agg(F.bit_or(F.expr("shiftleft(1, k - 1)")).alias("lists"))
     first = first.where("lists = shiftleft(1, least(%d, len)) - 1" % RAREST).select("id", "h", "start", "phrase", "len")
