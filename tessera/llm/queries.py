@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, packing, phrases, simhash, tokens, urls, warc
-from .common import documents, shared_path
+from . import fingerprint, langid, packing, phrases, simhash, tokens, toxicity, urls, warc
+from .common import documents, remainder, shared_path
 
 
 def tokenizer_path() -> str:
@@ -17,6 +17,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _held_out(scores: DataFrame, n: int, at: int) -> DataFrame:
+    return scores.withColumn("held_out", remainder("doc_id", n) == at)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, documents(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return _held_out(toxicity.score(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.resolve_revisits(warc.headers_of(documents(spark, sf_dir, "pages")))
     path = shared_path(spark, "warc")
@@ -46,13 +56,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = langid.learn(docs, remainder("doc_id", 5) != 0)
+    return _held_out(langid.predict(docs, net), 5, 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_versions(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_warc_revisits, op4_decontamination, op5_url_filter, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op10_document_fingerprints)
+    for f in (op2_toxicity, op3_warc_revisits, op4_decontamination, op5_url_filter, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op9_language_id, op10_document_fingerprints)
 }
 
 ORACLE: dict[str, str] = {
