@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, phrases, simhash, tokens, toxicity, urls, warc
+from . import fingerprint, langid, mixing, packing, phrases, simhash, tokens, toxicity, urls, warc
 from .common import documents, remainder, shared_path
 
 
@@ -21,6 +21,11 @@ def _held_out(scores: DataFrame, n: int, at: int) -> DataFrame:
     return scores.withColumn("held_out", remainder("doc_id", n) == at)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.score_texts(documents(spark, sf_dir), remainder("doc_id", 10) != 0)
+    return _held_out(out, 10, 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs, documents(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
@@ -68,7 +73,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_toxicity, op3_warc_revisits, op4_decontamination, op5_url_filter, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op9_language_id, op10_document_fingerprints)
+    for f in (op1_lm_scoring, op2_toxicity, op3_warc_revisits, op4_decontamination, op5_url_filter, op6_best_fit_packing, op7_simhash_near_dedup, op8_token_counts, op9_language_id, op10_document_fingerprints)
 }
 
 ORACLE: dict[str, str] = {
