@@ -7,6 +7,7 @@ from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Hosts and prefixes by kind, and what a normal identifier looks like.
 DOI_HOSTS = ("doi.org", "dx.doi.org")
@@ -130,7 +131,7 @@ def normalize(kind: str | None, value: str | None) -> tuple[str, str | None, str
     return ("metadata" if kind == "pmcid" else "accepted"), kind, got, version
 
 
-@pandas_udf("status string, kind string, value string, note string")
+@pandas_udf(StructType([StructField(c, StringType()) for c in ("status", "kind", "value", "note")]))
 def normalize_udf(kinds: pd.Series, values: pd.Series) -> pd.DataFrame:
     rows = [normalize(k, v) for k, v in zip(kinds, values, strict=True)]
     return pd.DataFrame(rows, columns=["status", "kind", "value", "note"])

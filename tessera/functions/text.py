@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks; Spark has no built-in for it."""
 
@@ -115,7 +116,7 @@ def chunk_sections(markdown: str, limit: int) -> list[str]:
 def chunks_udf(limit: int):
     """text -> struct(strategy, chunks)."""
 
-    @pandas_udf("strategy string, chunks array<string>")
+    @pandas_udf(StructType([StructField("strategy", StringType()), StructField("chunks", ArrayType(StringType()))]))
     def run(texts: pd.Series) -> pd.DataFrame:
         out = [chunk_text(t or "", limit) for t in texts]
         return pd.DataFrame({"strategy": [s for s, _ in out], "chunks": [c for _, c in out]})
@@ -124,7 +125,7 @@ def chunks_udf(limit: int):
 
 
 def sections_udf(limit: int):
-    @pandas_udf("array<string>")
+    @pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunk_sections(t or "", limit))
 
@@ -166,7 +167,7 @@ def tolerant_json(text: str | None) -> tuple[str | None, str]:
     return None, "failed"
 
 
-@pandas_udf("json string, how string")
+@pandas_udf(StructType([StructField("json", StringType()), StructField("how", StringType())]))
 def tolerant_json_udf(texts: pd.Series) -> pd.DataFrame:
     out = [tolerant_json(t) for t in texts]
     return pd.DataFrame({"json": [a for a, _ in out], "how": [b for _, b in out]})
@@ -185,7 +186,7 @@ def merge_patch(target, patch):
     return out
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def merge_patch_udf(targets: pd.Series, patches: pd.Series) -> pd.Series:
     def one(a, b):
         if a is None or b is None:
