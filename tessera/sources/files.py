@@ -41,9 +41,10 @@ def json_entries(spark: SparkSession, path: str, member: str = "entries") -> Dat
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """Quoted CSV with headers in snake case; empty or repeated headers are an error."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    names = [re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") for c in df.columns]
+    heads = spark.read.csv(path, header=False, multiLine=True, escape='"').first()  # Spark makes repeated headers distinct
+    names = [re.sub(r"[^a-z0-9]+", "_", (c or "").strip().lower()).strip("_") for c in heads or ()]
     if not all(names) or len(set(names)) != len(names):
-        raise ValueError(f"headers must be there once each: {df.columns}")
+        raise ValueError(f"headers must be there once each: {list(heads or ())}")
     return df.toDF(*names)
 
 
