@@ -11,7 +11,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +60,19 @@ def terms(text: str) -> dict[str, int]:
     return out
 
 
-def signature(found: dict[str, int]) -> tuple[int, int]:
+def signature(text: str) -> tuple[int, int]:
     """Near copies mostly agree in this (least hashes of their longer words); others rarely do."""
-    words = [w.encode() for w in found if w[-1] != "*" and len(w) >= 8] or [w.encode() for w in found] or [b""]
-    return min(map(zlib.crc32, words)), min(zlib.adler32(w) * 2654435761 % 2**32 for w in words)
+    words = set(_WORD.findall(text.lower()))
+    raw = [w.encode() for w in words if len(w) >= 8] or [w.encode() for w in words] or [b""]
+    return min(map(zlib.crc32, raw)), min(zlib.adler32(w) * 2654435761 % 2**32 for w in raw)
 
 
-def count_terms(docs: list[tuple[dict[str, int], int]]) -> tuple:
-    """(words by term in toxic documents, the same in others, toxic documents by term, all words in either)."""
+def count_terms(docs: Iterable[tuple[str, int]]) -> tuple:
+    """(words by term in toxic texts, the same in others, toxic texts by term, all words in either)."""
     yes, no, docs_of = Counter(), Counter(), Counter()
     total = [0, 0]
-    for found, label in docs:
+    for text, label in docs:
+        found = terms(text)  # of one text at a time: they take many times its size
         (yes if label else no).update(found)
         total[label] += sum(1 for t in found if t[-1] != "*")
         if label:
@@ -78,7 +80,15 @@ def count_terms(docs: list[tuple[dict[str, int], int]]) -> tuple:
     return yes, no, docs_of, total
 
 
-def learn_lexicon(counts: list[tuple]) -> dict[str, float]:
+class Lexicon(dict):
+    """Term -> weight, and the first four letters of all terms."""
+
+    def __init__(self, weights: dict[str, float] = {}):  # noqa: B006  never changed
+        super().__init__(weights)
+        self.heads = frozenset(t.rstrip("*")[:4] for t in weights)
+
+
+def learn_lexicon(counts: list[tuple]) -> Lexicon:
     """Term -> lower bound of the log odds of its words in toxic documents, for terms well above what
     luck would make of so many. ``counts``: of the parts to learn from."""
     docs_of = Counter()
@@ -86,7 +96,7 @@ def learn_lexicon(counts: list[tuple]) -> dict[str, float]:
         docs_of.update(c[2])
     n0, n1 = (sum(c[3][k] for c in counts) for k in (0, 1))
     if not n1 or not n0:
-        return {}
+        return Lexicon()
     least = math.log(len(docs_of) + 1) + 2
     out: dict[str, float] = {}
     for t, k in docs_of.items():
@@ -97,17 +107,17 @@ def learn_lexicon(counts: list[tuple]) -> dict[str, float]:
         surprise = a * math.log(a / ((a + b) * n1 / (n0 + n1)))
         if low >= LEAST_ODDS and surprise >= least:
             out[t] = round(low, 6)
-    return out
+    return Lexicon(out)
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of :data:`FEATURES`; null is like empty, all zeros."""
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
     words = _WORD.findall(low)
     n = max(1, len(words))
-    heads = lexicon_heads(lexicon)
+    heads = lexicon.heads
     at, best_word, best_stem, n_word, n_stem, kinds = [], 0.0, 0.0, 0, 0, set()
     for i, w in enumerate(words):
         if w[:4] not in heads:
@@ -142,17 +152,6 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-_HEADS: dict[int, frozenset[str]] = {}
-
-
-def lexicon_heads(lexicon: dict[str, float]) -> frozenset[str]:
-    key = id(lexicon)
-    if key not in _HEADS:
-        _HEADS.clear()
-        _HEADS[key] = frozenset(t.rstrip("*")[:4] for t in lexicon)
-    return _HEADS[key]
-
-
 class Trees:
     """Gradient boosting of the logistic loss with histogram trees of a fixed depth."""
 
@@ -227,13 +226,11 @@ class Model:
     def __init__(self, rows: list[tuple[str, int]]):
         once: dict[tuple, tuple] = {}  # copies of a document would make its chance words look sure
         for t, label in rows:
-            found = terms(t)
-            once.setdefault((int(label), *signature(found)), (t, found, int(label)))
-        rows = [(t, label) for t, _, label in once.values()]
-        found = [(f, label) for _, f, label in once.values()]
-        y = np.array([v for _, v in found], float)
+            once.setdefault((int(label), *signature(t)), (t, int(label)))
+        rows = list(once.values())
+        y = np.array([label for _, label in rows], float)
         fold = np.arange(len(rows)) % 3
-        counts = [count_terms([f for f, own in zip(found, fold, strict=True) if own == k]) for k in range(3)]
+        counts = [count_terms(r for r, own in zip(rows, fold, strict=True) if own == k) for k in range(3)]
         self.lexicon = learn_lexicon(counts)
         self.trees = None
         if not len(y) or y.min() == y.max():
