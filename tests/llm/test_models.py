@@ -28,7 +28,7 @@ def test_lm_scores(spark, sf_dir):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
         want = sum(np.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tok)
         assert abs(r.base_score - want) < 1e-6 * max(1, abs(want))
-    held = [r for r in got.values() if r.held_out]
+    held = [r for r in queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
