@@ -90,5 +90,23 @@ hit AS (
   FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT u.page_id, u.host, u.path, hit.rule, coalesce(hit.rverdict, 'allow') AS verdict
 FROM u LEFT JOIN hit ON u.page_id = hit.page_id AND hit.k = 1
+""",
+    "op3_warc_revisits": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, h,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (15 - 5 * (i % 4)))::BIGINT & 31)::INTEGER, 1)), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
+""",
+    "op4_decontamination": r"""
+WITH words AS (SELECT true AS is_item, item_id AS id, text FROM benchmark UNION ALL SELECT false, doc_id, text FROM documents),
+w AS (SELECT is_item, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words),
+win AS (SELECT id AS item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM w WHERE is_item AND len(w) > 0)),
+spots AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM win) WHERE NOT is_item),
+found AS (SELECT s.id, s.i, s.n, win.item_id FROM (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM spots) s JOIN win ON s.phrase = win.phrase AND s.n = win.n),
+hit AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY 1),
+items AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit ON hit.id = w.id LEFT JOIN items ON items.id = w.id WHERE NOT w.is_item
 """,
 }

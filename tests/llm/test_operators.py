@@ -241,3 +241,19 @@ def test_next_over_buckets(spark, monkeypatch):
     rows = [(k * k * 7 - 50, f"text number {k}. " * (k % 5)) for k in range(60)] + [(10**15, "far"), (-(10**15), "away")]
     got = by(fingerprint.edited_versions(odd(spark, rows)))
     assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.edited(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_agrees_with_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'").fetchall()
+    df = queries.QUERIES[name](spark, sf_dir)
+    cur = con.execute(queries.ORACLE[name])
+    names = [x[0] for x in cur.description]
+    rows = cur.fetchall()
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda row, at: tuple(str(row[at(c)]) for c in sorted(names))
+    assert sorted(plain(r, str) for r in df.collect()) == sorted(plain(r, names.index) for r in rows)
