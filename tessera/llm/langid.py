@@ -192,7 +192,8 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     n = F.char_length(F.col("text"))
     at = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), n - WINDOW + 1)).cast("int")
     src = docs.where(learnable).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    rows = src.select(F.xxhash64("id", "text").alias("k"), F.substring("text", at, F.lit(WINDOW)).alias("window"), "lang").orderBy("k", "window", "lang").limit(sample).collect()
+    total = docs.where(learnable).where(docs[lang_col].isNotNull()).count()
+    rows = common.lowest(src.select(F.xxhash64("id", "text").alias("k"), F.substring("text", at, F.lit(WINDOW)).alias("window"), "lang"), "k", sample, total)
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})

@@ -259,9 +259,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
     column) holds, taken by least hash. Ids without a document, and null labels, teach nothing; an
     id with several labels counts as toxic if one of them says so."""
     marked = labels.where(learnable).groupBy(labels[id_col].alias("id")).agg(F.max(label_col).cast("int").alias("y")).where("y is not null and id is not null")
-    k = F.xxhash64(F.col("id").cast("long"))
-    part = lambda v, n: marked.where(F.col("y") == v).orderBy(k, "id").limit(n)
-    chosen = F.broadcast(part(1, toxic).union(part(0, other)))  # bounded by the two parameters
+    marked = marked.select("id", "y", F.xxhash64(F.col("id").cast("long")).alias("k"))
+    have = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [(r.id, r.y) for v, n in ((1, toxic), (0, other)) for r in common.lowest(marked.where(F.col("y") == v), "k", n, have.get(v, 0))]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {dict(marked.dtypes)['id']}, y int"))  # bounded by the two parameters
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(chosen, "id").select("id", "text", "y").collect()
     rows.sort(key=lambda r: (r.id * 0x9E3779B97F4A7C15 % 2**64, r.id, r.text))
     return Model([(r.text, r.y) for r in rows])
