@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import common, langid, packing, phrases, queries, simhash, toxicity
 
@@ -29,28 +30,32 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that with the least doc_id.
 
-    Rows with one doc_id in one group are repeats: one of them (least text) stays. Rows without a
-    doc_id stay only if their group has no doc_id at all, one for each group's fingerprint."""
-    comp = simhash.components(simhash.fingerprints(docs))
-    keep = comp.where("id is not null and id = component_id").select(F.col("id").alias("keep_id")).distinct()
-    first = docs.join(keep, docs.doc_id == keep.keep_id, "left_semi")
-    if not first.groupBy("doc_id").count().where("count > 1").isEmpty():
-        first = first.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *[F.col(c).cast("string") for c in docs.columns])).alias("row")).select("row.*")
-    orphan = docs.where("doc_id is null")
-    if orphan.isEmpty():
+    Rows with one doc_id in one group are repeats: one of them (least text) stays; in different groups
+    they are different documents. Rows without a doc_id stay only if their group has no doc_id at all,
+    one (least text) for each group's fingerprint."""
+    own = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), "text")
+    prints = simhash.fingerprints(own, id_col="key").select(F.col("id.doc_id").alias("id"), F.col("id.h").alias("h"), "fp")
+    place = F.when(F.col("id").isNull(), F.col("fp")).otherwise(F.col("label"))
+    keys = simhash.grouped(prints).where("id <=> component_id").groupBy("id", "h", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    keys = common.written(keys.withColumn("repeated", F.sum("n").over(Window.partitionBy("id", "place")) > 1), "distinct-keys")
+    first = _same(docs, keys.where("not repeated"), "left_semi")
+    again = keys.where("repeated")
+    if again.isEmpty():
         return first
-    alone = simhash.fingerprints(orphan).select("fp").distinct().join(comp.where("component_id is null").select("fp").distinct(), "fp", "left_semi")
-    marked = orphan.withColumn("text_key", F.coalesce("text", F.lit("")))
-    prints = simhash.fingerprints(marked, id_col="text_key").groupBy("fp").agg(F.min("id").alias("text_key")).join(alone, "fp", "left_semi")
-    left = marked.join(prints, "text_key", "left_semi").dropDuplicates(["text_key"]).select(*docs.columns)
-    return first.unionByName(left)
+    rows = _same(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), again, "inner")
+    order = F.struct("row.text", *[F.col(f"row.{c}").cast("string") for c in docs.columns])
+    return first.unionByName(rows.groupBy("id", "place").agg(F.min_by("row", order).alias("row")).select("row.*"))
+
+
+def _same(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join rows to ``keys`` (id, h): a row is known by its doc_id, null or not, and its text's hash."""
+    return docs.join(keys, docs.doc_id.eqNullSafe(keys.id) & (F.xxhash64(docs.text) == keys.h), how)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with any benchmark window."""
-    found = phrases.decontaminate(docs, common.documents(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.coalesce("doc_id", F.lit(phrases.NO_ID)).alias("hit_id")).distinct()
-    return docs.join(hit, F.coalesce(docs.doc_id, F.lit(phrases.NO_ID)) == hit.hit_id, "left_anti")
+    found = phrases.judge(docs, common.documents(spark, sf_dir, "benchmark"))
+    return _same(docs, found.where("contaminated").select("id", "h").distinct(), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,8 +89,9 @@ def occurrences(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFram
     return out.select("id", "h", "start", "phrase", "len")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
+def judge(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``; id and
+    h, the text's xxhash64, tell rows apart.
 
     A word inside any occurrence of an item's window is hit; positions in several occurrences count
     once. Null text has no words. Repeated rows get equal results; null ids are kept. Without items
@@ -114,10 +115,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     own = docs.select(docs[id_col].alias("own_id"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("h"), count_words(docs[text_col]).alias("n_words"))
     out = own.join(hit.join(named, ["id", "h"]), ["id", "h"], "left")
     return out.select(
-        F.col("own_id").alias(id_col),
+        F.col("own_id").alias("id"),
+        "h",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The verdicts of :func:`judge` without h, under the name of the id column."""
+    return judge(docs, items, width, id_col, text_col, item_col, item_text).drop("h").withColumnRenamed("id", id_col)

@@ -210,16 +210,23 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     return pairs.union(star)
 
 
-def components(fps: DataFrame) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links, itself included.
+def grouped(fps: DataFrame) -> DataFrame:
+    """The rows of ``fps`` (id, fp and any others) with component_id and label.
 
-    Equal fingerprints are one vertex, so groups of copies of any size cost one row each. Null ids
-    belong to their fingerprint's component but never name it. Empty in, empty out.
+    component_id is the smallest id reachable over links, itself included; several components can have
+    one if an id is repeated, whereas label is a component's own. Equal fingerprints are one vertex, so groups of
+    copies of any size cost one row each. Null ids belong to their fingerprint's component but never
+    name it. Empty in, empty out.
     """
     fps = common.written(fps, "simhash-fp")
     vertex = common.written(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-vertex")
     label = connected_components(links(vertex))  # node, label: of fingerprints that have links
     owned = vertex.join(label, vertex.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     best = owned.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = owned.join(best, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    named = owned.join(best, "label").select("fp", "component_id", "label")
+    return fps.join(named, "fp").select(*fps.columns, "component_id", "label")
+
+
+def components(fps: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of the rows of ``fps``, as :func:`grouped` finds them."""
+    return grouped(fps).select("id", "fp", "component_id")

@@ -194,3 +194,17 @@ def test_pipeline_odd(spark, sf_dir, rows):
     assert got == want
     left = corpus_pipeline.decontaminated(spark, docs, sf_dir)
     assert left.count() == len(rows) and left.columns == docs.columns
+
+
+def test_pipeline_keeps_clean_rows(spark, sf_dir):
+    """Rows are known by doc_id and text: a shared or missing doc_id costs no other document."""
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r.text or "").split()) >= 10)
+    clean = [(None, "a clean text without an id"), (None, "one more of these"), (7, "seven is clean here"), (8, "eight"), (9, None)]
+    left = corpus_pipeline.decontaminated(spark, odd(spark, [*clean, (None, item), (7, item)]), sf_dir)
+    assert sorted(((r.doc_id or -1, r.text or "") for r in left.collect())) == sorted((i or -1, t or "") for i, t in clean)
+
+    rows = [(1, "apples and pears on the table"), (2, "apples and pears on the table"), (2, "some wholly other words stand here"), (2, "some wholly other words stand here"), (3, "x y z"), (3, "u v w"), (None, "apples and pears on the table"), (None, "alone here it is"), (None, "alone here it is"), (None, "k l m")]
+    got = corpus_pipeline.distinct(spark, odd(spark, rows), sf_dir)
+    assert got.columns == odd(spark, []).columns
+    want = [(1, rows[0][1]), (2, rows[2][1]), (3, "u v w"), (3, "x y z"), (-1, "alone here it is"), (-1, "k l m")]
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == sorted(want)
