@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import fingerprint, packing, phrases, queries, simhash, tokens, urls, warc
@@ -236,6 +237,14 @@ def test_fingerprints_odd(spark):
     assert fingerprint.edited_versions(odd(spark, [(1, "x"), (1, "x"), (None, "y")])).count() == 3
 
 
+def test_paragraphs_end_with_sentences(spark):
+    """A word put in near the start changes the digests of its own sentence only."""
+    text = " ".join(f"This is sentence number {k} of one long line." for k in range(40))
+    df = spark.createDataFrame([(text, text.replace("number 1 of", "number one more 1 of"))], "a string, b string")
+    a, b = df.select(fingerprint.paragraph_digests(F.col("a")), fingerprint.paragraph_digests(F.col("b"))).collect()[0]
+    assert len(a) == len(b) == 40 and len(set(a) & set(b)) == 39
+
+
 def test_next_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
     rows = [(k * k * 7 - 50, f"text number {k}. " * (k % 5)) for k in range(60)] + [(10**15, "far"), (-(10**15), "away")]
