@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _SHIPPED: set[str] = set()
 _OWN_DIRS: dict[str, str] = {}
@@ -105,6 +106,29 @@ def lowest(df: DataFrame, key: str, n: int, total: int) -> list:
     return df.orderBy(*order).limit(n).collect()
 
 
+def lowest_of_each(df: DataFrame, key: str, by: str, n: int) -> list:
+    """At most ``n`` rows, an equal share (one at least) for each value of ``by``, those of least ``key``, a
+    64-bit hash column; collected in order of ``by`` and ``key``. As in :func:`lowest`, only rows under a value's
+    hash floor are ranked; should too few come of any value, all rows are."""
+    totals = {r[0]: r[1] for r in df.groupBy(by).agg(F.count(F.lit(1))).collect()}
+    if not totals:
+        return []
+    share = max(1, n // len(totals))
+    cuts = {v: min(2**63 - 1, -(2**63) + int(2**64 * (1.2 * share + 50) / t)) for v, t in totals.items() if t > 3 * share}
+    order = [F.col(by), F.col(key), *[F.col(c) for c in df.columns if c not in (by, key)]]
+    place = Window.partitionBy(by).orderBy(*order[1:])
+
+    def take(rows: DataFrame) -> list:
+        return rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= share).drop("_place").orderBy(*order).collect()
+
+    if cuts:
+        floor = F.coalesce(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col(by)], F.lit(2**63 - 1))
+        rows = take(df.where(F.col(key) <= floor))
+        if len(rows) == sum(min(share, t) for t in totals.values()):
+            return rows
+    return take(df)
+
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 

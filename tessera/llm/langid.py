@@ -20,8 +20,8 @@ from . import common
 HIDDEN = 8
 SPAN = 256
 LANES = 4096
-#: The model is fitted on at most so many labelled documents (least id hashes first), one window of
-#: ``WINDOW`` characters from anywhere in each.
+#: The model is fitted on at most so many labelled documents, as many of each language as there are (least
+#: hashes first), one window of ``WINDOW`` characters from anywhere in each.
 SAMPLE_DOCS = 4_000
 WINDOW = 160
 TRAIN_STEPS = 220
@@ -187,20 +187,20 @@ class Network:
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> Network | None:
     """Train on at most ``sample`` rows where ``learnable`` holds and text and language aren't null.
 
-    Rows are taken by least hash of id and text, so the sample is the same for any partitioning.
-    None if nothing can be learned from."""
+    Every language with a text that has a letter gets an equal share of the sample (one row at least), so
+    rare ones can be predicted too. Rows are taken by least hash of id and text, so the sample is the
+    same for any partitioning. None if nothing can be learned from."""
     n = F.char_length(F.col("text"))
     at = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), n - WINDOW + 1)).cast("int")
     src = docs.where(learnable).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    total = docs.where(learnable).where(docs[lang_col].isNotNull()).count()
-    rows = common.lowest(src.select(F.xxhash64("id", "text").alias("k"), F.substring("text", at, F.lit(WINDOW)).alias("window"), "lang"), "k", sample, total)
+    rows = common.lowest_of_each(src.select(F.xxhash64("id", "text").alias("k"), F.substring("text", at, F.lit(WINDOW)).alias("window"), "lang"), "k", "lang", sample)
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
     net = Network(labels)
-    width = max(TRAIN_SPAN, WINDOW // 2)
     raw = [r.window.encode() for r in rows]
-    data = np.stack([np.resize(np.frombuffer(w, np.uint8), width) for w in raw])  # short windows repeat
+    width = max(TRAIN_SPAN, *map(len, raw))
+    data = np.stack([np.resize(np.frombuffer(w, np.uint8), width) for w in raw])  # short windows repeat, none is cut
     net.train(data, np.array([labels.index(r.lang) for r in rows]), TRAIN_STEPS, TRAIN_LANES)
     return net
 

@@ -1,7 +1,7 @@
 """Sum-of-squares packing of token sequences.
 
 Every document becomes one or more pieces of at most ``capacity`` tokens. A piece goes to the
-open bin gap that makes the sum of squares of the counts of open bins per residual gap smallest.
+bin gap that makes the sum of squares of the counts of open bins per residual gap smallest.
 Pieces are dealt at random (by a hash of their identity) to groups of about ``GROUP`` pieces that
 are packed apart, each with memory for its own lengths only; a group leaves a handful of bins
 partly filled, so the loss does not grow with the corpus.
@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +23,12 @@ from .tokens import SLICE_BYTES, encoder
 GROUP = 40_000
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, open_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each length, packing longest first (ties: by position).
 
     Placing length s in a bin of gap g changes the sum by 1 - 2 n(g) for the gap that it leaves
-    and by 1 + 2 n(g - s) for the gap that it makes; full and unopened bins do not count.
+    and by 1 + 2 n(g - s) for the gap that it makes; full and unopened bins do not count. With
+    ``open_first`` a new bin is opened only where no open one has room.
     """
     n_open = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -51,6 +51,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         cost = cost_out[s:] + cost_in[: capacity + 1 - s]
         # of equal costs the tightest gap
         g = s + int(np.argmin(cost))
+        if open_first and g == capacity and s < capacity:
+            best = int(np.argmin(cost[:-1]))
+            g = s + best if cost[best] < 1 << 39 else g
         if g == capacity:
             b, made = made, made + 1
         else:
@@ -66,6 +69,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def fewest_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum-of-squares packing with new bins at any time, or only where nothing open has room, whichever
+    takes fewer bins (ties: the former)."""
+    ways = [sum_of_squares(lengths, capacity, way) for way in (False, True)]
+    return min(ways, key=lambda way: way[0].max(initial=-1))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): a document's ids, then ``end_id``, cut only where longer
     than ``capacity``; then the first piece is the short one. Null text: the end id alone."""
@@ -108,12 +118,12 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", group: in
     total = cut.count()
     groups = max(1, -(-total // group))
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        b, off = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=int(key[0]) + groups * b, offset=off)
+    def place(rows: pa.Table) -> pa.Table:  # Arrow all the way, as pandas would make doubles of ids beside a null
+        rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offset = fewest_bins(rows["length"].to_numpy(), capacity)
+        return rows.append_column("sequence_id", pa.array(rows["bin_group"][0].as_py() + groups * bins)).append_column("offset", pa.array(offset))
 
     deal = F.pmod(F.xxhash64(id_col, "piece", "start"), F.lit(groups)).cast("int")
     src = cut.select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32", deal.alias("bin_group"))
-    out = src.groupBy("bin_group").applyInPandas(place, f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, bin_group int, sequence_id long, offset long")
+    out = src.groupBy("bin_group").applyInArrow(place, f"id {dict(src.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, bin_group int, sequence_id long, offset long")
     return out.drop("bin_group").withColumnRenamed("id", id_col)

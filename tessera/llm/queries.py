@@ -33,11 +33,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.resolve_revisits(warc.headers_of(documents(spark, sf_dir, "pages")))
     path = shared_path(spark, "warc")
-    warc.write_archives(rows, path)
-    back = warc.with_originals(warc.read_archives(spark, path))
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.archive(documents(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

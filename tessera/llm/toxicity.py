@@ -135,8 +135,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     second = len(persons)
     near = 0
     if at and persons:
-        p = np.array(persons)
-        near = sum(bool(np.abs(p - i).min() <= NEAR) for i in at[:10_000])
+        p, hits = np.array(persons), np.array(at)
+        after = np.searchsorted(p, hits)  # both rise, so the nearest person is the one before or the one after
+        gap = np.minimum(np.abs(hits - p[np.maximum(after - 1, 0)]), np.abs(p[np.minimum(after, len(p) - 1)] - hits))
+        near = int((gap <= NEAR).sum())
     raw = np.frombuffer(text.encode(), np.uint8)
     kind = _CLASS[raw]
     count = np.bincount(kind, minlength=5)
@@ -205,19 +207,27 @@ class Trees:
         return f
 
 
+def _pool(blocks: Iterable[list[float]]) -> list[list[float]]:
+    """Merge neighbouring [sum of y, weight, sum of scores, rows] until sum / weight rises strictly."""
+    out: list[list[float]] = []
+    for b in blocks:
+        out.append(list(b))
+        while len(out) > 1 and out[-2][0] * out[-1][1] >= out[-1][0] * out[-2][1]:
+            last = out.pop()
+            out[-1] = [x + y for x, y in zip(out[-1], last, strict=True)]
+    return out
+
+
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: rising scores and their calibrated values, for interpolation."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, weight, sum of scores
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, s])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            v1, w1, s1 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + v1, blocks[-1][1] + w1, blocks[-1][2] + s1]
-    at = np.array([b[2] / b[1] for b in blocks])
-    # a pinch of the mean keeps pure blocks off 0 and 1
+    """Pool adjacent violators: rising scores and their rising calibrated values, for interpolation.
+
+    A pinch of the mean (one row's weight a block) keeps pure blocks off 0 and 1; as it moves small blocks
+    more than large ones, what it brings out of order is pooled once more."""
+    at, of, n = np.unique(score, return_inverse=True, return_counts=True)  # equal scores share a value
+    blocks = _pool([v, w, s * w, w] for s, v, w in zip(at.tolist(), np.bincount(of, y).tolist(), n.astype(float).tolist(), strict=True))
     mean = float(np.mean(y))
-    return at, np.array([(b[0] + mean) / (b[1] + 1) for b in blocks])
+    blocks = _pool([v + mean, w + 1, s, n] for v, w, s, n in blocks)
+    return np.array([b[2] / b[3] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 class Model:

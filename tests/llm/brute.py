@@ -4,9 +4,9 @@ import base64
 import hashlib
 import re
 
-from tessera.llm.common import LOWER
-from tessera.llm.simhash import fingerprint_of
+import xxhash
 
+LOWER = {i: i + 32 for i in range(65, 91)}
 WORD4 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -25,6 +25,12 @@ def components(pairs_of, nodes):
     return {n: root(n) for n in nodes}
 
 
+def fingerprint_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
 def simhash(docs):
     """docs: (doc_id, text) -> {doc_id: (hex, component)}."""
     fp = {i: fingerprint_of(t) for i, t in docs}

@@ -1,5 +1,6 @@
 """Trained operators: held-out quality, proper probabilities, gradients, odd rows; the pipeline."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -7,6 +8,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ODD, by, docs_of, odd
 
 from tessera.llm import common, langid, mixing, queries, toxicity
@@ -120,6 +122,45 @@ def test_languages(spark, sf_dir):
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.9
 
 
+def test_languages_by_hand(spark, sf_dir):
+    """The registered query's labels and scores against a reader that goes byte by byte."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = langid.learn(docs, common.remainder("doc_id", 5) != 0)
+    got = by(queries.op9_language_id(spark, sf_dir))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    H, p = net.hidden, {k: v.astype(float) for k, v in net.p.items()}
+    for i, t in [x for x in docs_of(spark, sf_dir) if len(x[1] or "") < 700][:40]:
+        raw = (t or "").encode()
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(raw), langid.SPAN):
+            span = raw[at : at + langid.SPAN]
+            states = []
+            for d, order in ((0, range(len(span))), (1, range(len(span) - 1, -1, -1))):
+                h, own = np.zeros(H), {}
+                for k in order:
+                    a, g = p["x"][d][span[k]], p["u"][d] @ h
+                    z, r = sig(a[:H] + g[:H]), sig(a[H : 2 * H] + g[H : 2 * H])
+                    c = np.tanh(a[2 * H :] + r * (g[2 * H :] + p["c"][d][:, 0]))
+                    h = (1 - z) * c + z * h
+                    own[k] = h
+                states.append(own)
+            for k in range(len(span)):
+                e = np.exp(p["o"][0] @ states[0][k] + p["o"][1] @ states[1][k] + p["b"][:, 0])
+                total += e / e.sum()
+        if any(map(str.isalpha, t or "")):
+            prob = total / len(raw)
+            assert abs(prob[net.labels.index(got[i].lang_pred)] - prob.max()) < 1e-4 and abs(got[i].score - prob.max()) < 1e-4
+        else:
+            assert got[i].lang_pred == "und"
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(300)] + [(900, "zzqx qzx xqz qqz", "zz"), (901, None, "xx"), (902, "123", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.learn(docs, F.lit(True), sample=20)
+    assert net.labels == ["en", "zz"]
+
+
 def test_languages_odd(spark):
     docs = odd(spark).selectExpr("doc_id", "text", "'en' as lang", "id", "h")
     got = by(langid.predict(docs, langid.learn(docs, common.remainder("doc_id", 5) != 0)))
@@ -149,6 +190,57 @@ def test_toxicity_odd(spark):
     assert toxicity.score(odd(spark, []), model).count() == 0
 
 
+def test_isotonic_never_falls():
+    for k in range(60):
+        rng = np.random.default_rng(k)
+        s = np.round(rng.normal(size=400 + 40 * k), 1 + k % 3)
+        y = (rng.random(len(s)) < 1 / (1 + np.exp(-s))).astype(float)
+        at, value = toxicity.isotonic(s, y)
+        assert (np.diff(at) > 0).all() and (np.diff(value) > 0).all() and value.min() >= 0 and value.max() <= 1
+        plain = np.interp(s, at, value)
+        assert abs(plain.mean() - y.mean()) < 0.02
+
+
+def test_toxicity_features_by_hand():
+    """Counts of a text against plain loops; hits beyond the ten-thousandth count like any other."""
+    lexicon = toxicity.Lexicon({"vile": 2.0, "vile*": 1.5, "scum*": 1.0})
+    text = "You VILE vilest thing!! sc0ummy v1le AAA " + "word " * 12_000 + "vile you"
+    f = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon), strict=True))
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    n = len(words)
+    hits = [i for i, w in enumerate(words) if w == "vile" or (len(w) > 4 and w.startswith(("vile", "scum")))]
+    people = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    assert f["word_density"] == 1000 * words.count("vile") / n and f["word_odds"] == 2.0 and f["stem_odds"] == 1.5
+    assert f["second_person_near"] == sum(any(abs(i - p) <= toxicity.NEAR for p in people) for i in hits) == 3
+    assert f["second_person"] == 1000 * len(people) / n and f["capitals"] == sum(map(str.isupper, text)) / len(text)
+    assert f["obfuscated_hits"] == 1 and f["exclamation"] == 2000 / len(text)
+    many = "vile you " * 15_000
+    assert dict(zip(toxicity.FEATURES, toxicity.features(many, lexicon), strict=True))["second_person_near"] == 15_000
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The registered query's scores: trees walked node by node, calibration by plain interpolation."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), common.remainder("doc_id", 4) != 2)
+    got = by(queries.op2_toxicity(spark, "/root/testdata/sf0.01"))
+    for i, t in docs_of(spark, "/root/testdata/sf0.01"):
+        x = toxicity.features(t, model.lexicon)
+        total = model.trees.base
+        for feature, cut, leaf in model.trees.trees:
+            node = 0
+            for level in range(toxicity.DEPTH):
+                j = feature[level][node]
+                code = sum(e < x[j] for e in model.trees.edges[j]) if j >= 0 else 0
+                node = 2 * node + (1 if j >= 0 and code > cut[level][node] else 0)
+            total += leaf[node]
+        k = sum(a <= total for a in model.at)
+        if k in (0, len(model.at)):
+            want = model.value[max(0, k - 1)]
+        else:
+            want = model.value[k - 1] + (total - model.at[k - 1]) / (model.at[k] - model.at[k - 1]) * (model.value[k] - model.value[k - 1])
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([0.1, 0.4, 0.3, 0.9, 0.8]), np.array([0, 1, 0, 1, 0]))
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all()
@@ -203,6 +295,16 @@ def test_pipeline_keeps_clean_rows(spark, sf_dir):
     left = corpus_pipeline.decontaminated(spark, odd(spark, [*clean, (None, item), (7, item)]), sf_dir)
     assert sorted(((r.doc_id or -1, r.text or "") for r in left.collect())) == sorted((i or -1, t or "") for i, t in clean)
 
+    got = corpus_pipeline.distinct(spark, odd(spark, [(3, "a b c d"), (5, "a b c d"), (5, "wholly other words here")]), sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, "a b c d"), (5, "wholly other words here")]
+    # rows without an id: one of each group of near copies, none where the group has an id
+    own = " ".join(f"w{k}" for k in range(400))
+    near = {t: brute.fingerprint_of(t) for t in (own.replace("w200", "w200" + "x" * k) for k in range(60))}
+    a, b = next((a, b) for a in near for b in near if 0 < (near[a] ^ near[b]).bit_count() <= 2)
+    got = corpus_pipeline.distinct(spark, odd(spark, [(None, a), (None, b), (None, "far off")]), sf_dir).collect()
+    assert sorted(r.text for r in got) == sorted([min(a, b), "far off"])
+    assert [r.doc_id for r in corpus_pipeline.distinct(spark, odd(spark, [(None, a), (8, b)]), sf_dir).collect()] == [8]
+
     rows = [(1, "apples and pears on the table"), (2, "apples and pears on the table"), (2, "some wholly other words stand here"), (2, "some wholly other words stand here"), (3, "x y z"), (3, "u v w"), (None, "apples and pears on the table"), (None, "alone here it is"), (None, "alone here it is"), (None, "k l m")]
     got = corpus_pipeline.distinct(spark, odd(spark, rows), sf_dir)
     assert got.columns == odd(spark, []).columns

@@ -1,5 +1,7 @@
 """Operators against brute force, on the small tables and on tables of odd rows."""
 
+import base64
+import hashlib
 import zlib
 
 import brute
@@ -99,17 +101,53 @@ def test_warc(spark, sf_dir):
     assert {i: tuple(r[1:]) for i, r in got.items()} == brute.warc(pages)
 
 
-def test_warc_odd(spark, tmp_path):
-    html = [(1, None), (2, ""), (3, "x\r\n\r\nWARC/1.1\r\n"), (4, "é" * 50_000), (5, "x\r\n\r\nWARC/1.1\r\n"), (6, "\r\n\r\n"), (0, "é" * 50_000), (7, "z")]
-    src = spark.createDataFrame([(i, f"http://a/{i}\n", t, "clash") for i, t in html], "page_id long, url string, html string, payload string")
+PAGES = [(1, None), (2, ""), (3, "x\r\n\r\nWARC/1.1\r\n"), (4, "é" * 50_000), (5, "x\r\n\r\nWARC/1.1\r\n"), (6, "\r\n\r\n"), (0, "é" * 50_000), (7, "z")]
+
+
+@pytest.mark.parametrize("small", [0, warc.SMALL_ROWS])
+def test_warc_odd(spark, tmp_path, monkeypatch, small):
+    """With revisits broadcast or found by a Bloom filter; records of several size classes; an empty table."""
+    monkeypatch.setattr(warc, "SMALL_ROWS", small)
+    monkeypatch.setattr(warc, "CLASS_BYTES", 8)
+    src = spark.createDataFrame([(i, f"http://a/{i}\n", t, "clash") for i, t in PAGES], "page_id long, url string, html string, payload string")
     for n, rows in enumerate((src, src.limit(0))):
         path = f"file://{tmp_path}/{n}"
-        warc.write_archives(warc.resolve_revisits(warc.headers_of(rows)), path)
-        out = by(warc.with_originals(warc.read_archives(spark, path)), "id")
-        want = brute.warc(html) if not n else {}
-        assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in out.items()} == want
+        warc.archive(rows, path)
+        back = warc.read_archives(spark, path)
+        want = brute.warc(PAGES) if not n else {}
+        plain = lambda r: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+        assert {i: plain(r) for i, r in by(back, "id").items()} == want
+        # lengths of revisits come from the responses where their own headers don't say
+        bare = back.withColumn("payload_bytes", F.expr("if(record_type = 'revisit', null, payload_bytes)"))
+        assert {i: plain(r) for i, r in by(warc.with_originals(bare), "id").items()} == want
     big = warc.resolve_revisits(warc.headers_of(src), least_bytes=10).collect()
-    assert {r.id: r.record_type for r in big} == {i: x[2] for i, x in brute.warc(html, 10).items()}
+    assert {r.id: r.record_type for r in big} == {i: x[2] for i, x in brute.warc(PAGES, 10).items()}
+
+
+def test_warc_ids(spark, tmp_path):
+    """String ids with line ends, repeated and null ids: every row has its record, with a name of its own."""
+    rows = [("a\nb", "u", "x"), ("a\nb", "u2", "x"), ("c", "u", "x"), ("c", "u", "y"), (None, "u", "x"), (None, "v", "q"), ("", None, "q")]
+    warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string"), f"file://{tmp_path}/w", compression="none")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w", "string").collect()
+    assert sorted((r.id or "-", r.payload_digest[:4], r.record_type, r.refers_to or "-") for r in got) == sorted(
+        (i or "-", base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()[:4], "response" if (i, h) in {("a\nb", "x"), ("c", "y"), ("", "q")} else "revisit", "-" if (i, h) in {("a\nb", "x"), ("c", "y"), ("", "q")} else {"x": "a\nb", "q": "-"}[h])
+        for i, _, h in rows
+    )
+    heads = [head for f in tmp_path.glob("w/part-*") for head, _ in warc.parse(f.open("rb"))]
+    assert len({h["warc-record-id"] for h in heads}) == len(rows)
+    responses = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert all(h["warc-refers-to"] in responses for h in heads if h["warc-type"] == "revisit")
+
+
+def test_warc_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", 100)
+    src = spark.createDataFrame([(i, "u", chr(97 + i % 26) * (i * 7 % 1500)) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    warc.archive(src, f"file://{tmp_path}/w", least_bytes=10**9, compression="none")
+    for f in tmp_path.glob("w/part-*"):
+        sizes = [len(block) for _, block in warc.parse(f.open("rb"))]
+        assert sum(sizes) - 85 * len(sizes) <= 4000 or len(sizes) == 1
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 400
 
 
 def test_urls(spark):
@@ -153,6 +191,32 @@ def test_other_tokenizers(spark, name):
     assert got[2].n_tokens == got[1].n_tokens == 0 and got[4].n_tokens > 4000
 
 
+def test_token_counts_whole_table(spark, sf_dir):
+    """The registered query against the library, text by text."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    got = by(queries.op8_token_counts(spark, sf_dir))
+    docs = docs_of(spark, sf_dir)
+    assert len(got) == len(docs)
+    for i, t in docs:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 1024)
+
+
+def test_fast_ids_of_every_code_point():
+    """The fast encoder equals the library for every code point after a letter, a digit and a space."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert enc.plain is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}b1{c} {c}" for c in points[at : at + 4096])
+        assert enc.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_safe_parts():
     text = "ab cd  ef\ngh ij" * 50
     for size in (1, 7, 64):
@@ -186,25 +250,58 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(odd(spark, []), path)).count() == 0
 
 
-def test_sum_of_squares():
+@pytest.mark.parametrize("open_first", [False, True])
+def test_sum_of_squares(open_first):
+    """Each step is a least-squares choice among the gaps allowed, and the bins are those of a plain loop."""
     rng = np.random.default_rng(5)
     n = rng.integers(1, 101, 3000)
-    bins, at = packing.sum_of_squares(n, 100)
-    fill = np.bincount(bins, n)
-    assert fill.max() <= 100 and len(fill) <= 1.02 * n.sum() / 100 + 1
-    # each step is a least-squares choice
-    gaps = {}
+    bins, at = packing.sum_of_squares(n, 100, open_first)
+    assert np.bincount(bins, n).max() <= 100
+    gaps, made = {}, 0
     for i in np.argsort(-n, kind="stable"):
         s = n[i]
-        cost = {100: 1 + 2 * gaps.get(100 - s, 0) if s < 100 else 0}
-        for g in [g for g in gaps if gaps[g] and s <= g < 100]:
-            cost[g] = 1 - 2 * gaps[g] + (1 + 2 * gaps.get(g - s, 0) if g > s else 0)
+        cost = {g: 1 - 2 * gaps[g] + (1 + 2 * gaps.get(g - s, 0) if g > s else 0) for g in gaps if gaps[g] and s <= g < 100}
+        if not (open_first and cost):
+            cost[100] = 1 + 2 * gaps.get(100 - s, 0) if s < 100 else 0
         g = 100 - at[i]
-        assert cost[g] == min(cost.values())
+        assert g == min(k for k, c in cost.items() if c == min(cost.values()))
         if g < 100:
             gaps[g] -= 1
+        else:
+            made += 1
         if g > s:
             gaps[g - s] = gaps.get(g - s, 0) + 1
+    assert made == bins.max() + 1 <= (1.02 if open_first else 1.05) * n.sum() / 100 + 1
+
+
+def test_packing_whole_table(spark, sf_dir):
+    """The registered query against the library's ids, text by text; nearly as few sequences as tokens allow."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in docs_of(spark, sf_dir)}
+    got = queries.op6_best_fit_packing(spark, sf_dir).collect()
+    pieces = {}
+    for r in got:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(own.tobytes()) and len(own) == r.length
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    for i, x in ids.items():
+        n = len(x)
+        first = n % 2048 or 2048
+        assert sorted(pieces[i]) == [(k, 0 if not k else first + 2048 * (k - 1), first if not k else 2048) for k in range(-(-n // 2048))]
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in fill.values():
+        assert [o for o, _ in sorted(x)] == np.cumsum([0, *[n for _, n in sorted(x)]])[:-1].tolist() and sum(n for _, n in x) <= 2048
+    assert len(fill) <= -(-sum(map(len, ids.values())) // 2048) + 2
+
+
+def test_packing_keeps_ids(spark):
+    big = [2**53 + 1, 2**53 + 3, None, 2**62 + 1]
+    got = packing.pack(packing.pieces(odd(spark, [(i, "a b c") for i in big]), queries.tokenizer_path())).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, big))
 
 
 def test_fingerprints(spark, sf_dir):
