@@ -31,20 +31,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that with the least doc_id.
 
     Rows with one doc_id in one group are repeats: one of them (least text) stays; in different groups
-    they are different documents. Rows without a doc_id stay only if their group has no doc_id at all,
-    one (least text) for each group's fingerprint."""
+    they are different documents. Of rows without a doc_id one (least text) stays of each group that has no
+    doc_id at all."""
     own = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), "text")
     prints = simhash.fingerprints(own, id_col="key").select(F.col("id.doc_id").alias("id"), F.col("id.h").alias("h"), "fp")
-    place = F.when(F.col("id").isNull(), F.col("fp")).otherwise(F.col("label"))
-    keys = simhash.grouped(prints).where("id <=> component_id").groupBy("id", "h", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    keys = common.written(keys.withColumn("repeated", F.sum("n").over(Window.partitionBy("id", "place")) > 1), "distinct-keys")
+    keys = simhash.grouped(prints).where("id <=> component_id").groupBy("id", "h", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = common.written(keys.withColumn("repeated", F.sum("n").over(Window.partitionBy("id", "label")) > 1), "distinct-keys")
     first = _same(docs, keys.where("not repeated"), "left_semi")
     again = keys.where("repeated")
     if again.isEmpty():
         return first
     rows = _same(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), again, "inner")
     order = F.struct("row.text", *[F.col(f"row.{c}").cast("string") for c in docs.columns])
-    return first.unionByName(rows.groupBy("id", "place").agg(F.min_by("row", order).alias("row")).select("row.*"))
+    return first.unionByName(rows.groupBy("id", "label").agg(F.min_by("row", order).alias("row")).select("row.*"))
 
 
 def _same(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
