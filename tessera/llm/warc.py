@@ -45,13 +45,16 @@ FILTER_BITS = 1 << 26
 
 def base32_sha1(payload: Column) -> Column:
     """Bare upper-case base32 SHA-1 of a string or binary column, with built-in functions only."""
-    hexed = F.sha1(payload)
-    chars = []
-    for g in range(8):  # 5 hex digits are 20 bits, so 4 characters
-        n = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            chars.append(F.substring(F.lit(BASE32), F.shiftright(n, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*chars)
+
+    def coded(hexed: Column) -> Column:
+        chars = []
+        for g in range(8):  # 5 hex digits are 20 bits, so 4 characters
+            n = F.conv(F.substring(hexed, 5 * g + 1, 5), 16, 10).cast("int")
+            for shift in (15, 10, 5, 0):
+                chars.append(F.substring(F.lit(BASE32), F.shiftright(n, shift).bitwiseAND(31) + 1, F.lit(1)))
+        return F.concat(*chars)
+
+    return F.transform(F.array(F.sha1(payload)), coded)[0]  # so that the digest is made once, not for each group of digits
 
 
 def headers_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -141,14 +144,14 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0, compression: str
     Wholly equal rows give records of one WARC-Record-ID; other repeated ids have their own."""
     rows = headers_of(pages, **columns)
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = common.written(resolve_revisits(rows.drop("payload"), least_bytes).where("record_type = 'revisit'"), "revisits")
+    heads = common.written(rows.drop("payload"), "headers")
+    revisits = common.written(resolve_revisits(heads, least_bytes).where("record_type = 'revisit'"), "revisits")
 
     def put(df: DataFrame, text: Column, records: int) -> None:
         df.select(text.alias("value")).write.mode("append").option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", records).text(path)
 
     put(revisits, record_text(date), ARCHIVE_BYTES // CLASS_BYTES)
-    size = F.octet_length(F.coalesce(pages[columns.get("html_col", "html")], F.lit("")))
-    largest = pages.agg(F.max(size)).collect()[0][0]
+    largest = heads.agg(F.max("payload_bytes")).collect()[0][0]
     responses = without(rows, revisits)
     low, high = -1, CLASS_BYTES
     while largest is not None and low < largest:

@@ -83,11 +83,79 @@ def split_url(url):
 
 
 def edited(docs):
-    """(doc_id, text) with distinct ids -> {doc_id: (n_chars, sha256 of the edited text)}."""
+    """(doc_id, text) with distinct ids -> {doc_id: (text, edited text, next text)}."""
     order = sorted(docs, key=lambda d: -d[0])
     out = {}
     for k, (i, text) in enumerate(order):
         text, nxt = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
-        out[i] = (len(text), hashlib.sha256((text[: len(text) - half] + nxt[:half]).encode()).hexdigest())
+        out[i] = (text, text[: len(text) - half] + nxt[:half], nxt)
     return out
+
+
+def versions(docs):
+    """The same -> {doc_id: (n_chars, sha256 of the edited text)}."""
+    return {i: (len(t), hashlib.sha256(e.encode()).hexdigest()) for i, (t, e, _) in edited(docs).items()}
+
+
+def digests(text):
+    parts = re.findall(r"[^\n.!?。]{0,96}+[\n.!?。]|[^\n.!?。]{32,96}?(?= [A-Ha-h])|[^\n.!?。]{1,96}", text or "")
+    return {xxhash.xxh64_intdigest(p, seed=42) % 2**40 for p in parts}
+
+
+def check(key):
+    first = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)
+    return xxhash.xxh64_intdigest((7).to_bytes(4, "little"), seed=first) % 2**24
+
+
+def cells_of(key):
+    return [32 * t + (key >> 5 * t) % 32 for t in range(3)]
+
+
+def ladder(text):
+    """[(digests, {cell: [n, key, check]})] of each step."""
+    own, out = digests(text), []
+    while own:
+        cells = {}
+        for k in own:
+            for at in cells_of(k):
+                c = cells.setdefault(at, [0, 0, 0])
+                c[0], c[1], c[2] = c[0] + 1, c[1] ^ k, c[2] ^ check(k)
+        out.append((len(own), cells))
+        own = {k for k in own if (k >> 15) % 4 ** len(out) == 0}
+    return out
+
+
+def fingerprint(text):
+    one = lambda cells: b"".join(bytes([j, n % 256]) + k.to_bytes(5) + c.to_bytes(3) for j, (n, k, c) in sorted(cells.items()))
+    return ".".join(f"{n}:{base64.b64encode(one(cells)).decode()}" for n, cells in ladder(text))
+
+
+def compared(a, b):
+    """(likeness, step, differing digests) from two fingerprints' texts alone."""
+    sides = []
+    for text in (a, b):
+        steps = []
+        for part in text.split(".") if text else []:
+            n, _, raw = part.partition(":")
+            raw = base64.b64decode(raw)
+            steps.append((int(n), {raw[i]: (raw[i + 1], int.from_bytes(raw[i + 2 : i + 7]), int.from_bytes(raw[i + 7 : i + 10])) for i in range(0, len(raw), 10)}))
+        sides.append(steps)
+    for step in range(max(map(len, sides))):
+        n, cells = 0, {}
+        for sign, steps in zip((1, -1), sides, strict=True):
+            size, own = steps[step] if step < len(steps) else (0, {})
+            n += size
+            for j, (m, k, c) in own.items():
+                x = cells.setdefault(j, [0, 0, 0])
+                x[0], x[1], x[2] = (x[0] + sign * m) % 256, x[1] ^ k, x[2] ^ c
+        found = set()
+        while pure := next((x for x in cells.values() if x[0] in (1, 255) and x[2] == check(x[1])), None):
+            m, k = pure[0], pure[1]
+            found.add(k)
+            for j in cells_of(k):
+                x = cells[j]
+                x[0], x[1], x[2] = (x[0] - m) % 256, x[1] ^ k, x[2] ^ check(k)
+        if not any(any(x) for x in cells.values()):
+            return (n - len(found)) / (n + len(found)), step, sorted(found)
+    return (0.0 if a or b else 1.0), -1, []

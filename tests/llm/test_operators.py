@@ -305,48 +305,79 @@ def test_packing_keeps_ids(spark):
 
 
 def test_fingerprints(spark, sf_dir):
-    want = brute.edited(docs_of(spark, sf_dir))
-    got = queries.op10_document_fingerprints(spark, sf_dir).collect()
-    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
-    assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    """The registered query on a whole table: fingerprints as a plain loop builds them, likeness as the two
+    returned texts alone give it, and at step 0 the exact sets."""
+    docs = docs_of(spark, sf_dir)
+    want = brute.edited(docs)
+    got = by(queries.op10_document_fingerprints(spark, sf_dir))
+    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.versions(docs)
+    for i, (text, edited, following) in want.items():
+        r = got[i]
+        assert r.fingerprint == brute.fingerprint(text) and r.edited_fingerprint == brute.fingerprint(edited)
+        near, step, differing = brute.compared(r.fingerprint, r.edited_fingerprint)
+        assert (r.near_edited, r.edited_step, r.edited_differing) == (near, step, differing)
+        assert r.near_next == brute.compared(r.fingerprint, brute.fingerprint(following))[0]
+        if step == 0:
+            a, b = brute.digests(text), brute.digests(edited)
+            assert differing == sorted(a ^ b) and abs(near - len(a & b) / len(a | b)) < 1e-12
+    assert np.mean([r.edited_step == 0 for r in got.values()]) > 0.7
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.2
 
 
 def test_fingerprint_peeling(spark):
-    """Sketch differences are the set differences, for all sizes."""
+    """Few differing digests come out exactly, many leave an estimate near the truth."""
     rng = np.random.default_rng(2)
     rows = []
     for n in (0, 1, 2, 5, 9, 20, 40, 200, 1500):
-        a = rng.integers(-(2**62), 2**62, n)
-        for keep in (0, n // 2, n):
-            b = np.concatenate([a[:keep], rng.integers(-(2**62), 2**62, n - keep + 1)])
-            rows.append((a.tolist(), b.tolist(), int(n - keep + len(b) - keep)))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int")
-    for r in df.select("want", fingerprint.difference("a", "b").alias("d")).collect():
-        assert r.d == r.want
+        a = rng.choice(2**40, n, replace=False)
+        for keep in (0, n // 2, max(0, n - 9), n):
+            b = np.concatenate([a[:keep], rng.choice(2**40, n - keep, replace=False)])
+            rows.append((a.tolist(), b.tolist(), sorted(set(a.tolist()) ^ set(b.tolist())), (keep / (2 * n - keep)) if n else 1.0))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want array<long>, near double")
+    df = df.withColumn("x", fingerprint.ladder("a")).withColumn("y", fingerprint.ladder("b")).withColumn("o", fingerprint.compare("x", "y")).withColumn("got", fingerprint.likeness("o", "x", "y"))
+    for r in df.select("want", "near", "o", "got").collect():
+        assert abs(r.got - r.near) <= 0.3 and (r.o.step >= 0 or not r.want)
+        if len(r.want) <= 40:
+            assert sorted(r.o.d) == r.want and r.got == pytest.approx(r.near)
 
 
 def test_fingerprints_odd(spark):
     got = by(fingerprint.edited_versions(odd(spark)))
-    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.edited(ODD)
-    assert got[4].fingerprint == got[9].fingerprint and got[1].fingerprint == got[2].fingerprint
+    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.versions(ODD)
+    assert got[4].fingerprint == got[9].fingerprint and got[1].fingerprint == got[2].fingerprint == ""
     assert fingerprint.edited_versions(odd(spark, [])).count() == 0
     assert fingerprint.edited_versions(odd(spark, [(1, "x"), (1, "x"), (None, "y")])).count() == 3
+    alone = fingerprint.edited_versions(odd(spark, [(1, "One. Two.")])).collect()[0]
+    assert alone.near_next == 1.0
+    with pytest.raises(TypeError):
+        fingerprint.edited_versions(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
-def test_paragraphs_end_with_sentences(spark):
-    """A word put in near the start changes the digests of its own sentence only."""
-    text = " ".join(f"This is sentence number {k} of one long line." for k in range(40))
-    df = spark.createDataFrame([(text, text.replace("number 1 of", "number one more 1 of"))], "a string, b string")
-    a, b = df.select(fingerprint.paragraph_digests(F.col("a")), fingerprint.paragraph_digests(F.col("b"))).collect()[0]
-    assert len(a) == len(b) == 40 and len(set(a) & set(b)) == 39
+def test_paragraphs_follow_the_words(spark):
+    """A word put in near the start changes the digests around it only, with and without sentence ends."""
+    for end in (". ", " "):
+        text = end.join(f"This is sentence number {k} of a very long line" for k in range(60))
+        df = spark.createDataFrame([(text, text.replace("number 1 of", "number one more 1 of"))], "a string, b string")
+        a, b = df.select(fingerprint.paragraph_digests(F.col("a")), fingerprint.paragraph_digests(F.col("b"))).collect()[0]
+        assert len(a) >= 30 and len(set(a) ^ set(b)) <= 6
+        assert set(a) == brute.digests(text)
 
 
 def test_next_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
     rows = [(k * k * 7 - 50, f"text number {k}. " * (k % 5)) for k in range(60)] + [(10**15, "far"), (-(10**15), "away")]
     got = by(fingerprint.edited_versions(odd(spark, rows)))
-    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.edited(rows)
+    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == brute.versions(rows)
+
+
+def test_next_of_hot_ids(spark, monkeypatch):
+    """A third of the rows have one id, a third none: they are cut by text hash and still follow one another."""
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
+    rows = [(k, f"own {k}") for k in range(40)] + [(7, f"seven {k}") for k in range(40)] + [(None, f"none {k}") for k in range(40)]
+    df = fingerprint.with_next(odd(spark, rows)).select("id", "t", "next_t", F.xxhash64("t").alias("h"), F.xxhash64("next_t").alias("nh"))
+    got = df.collect()
+    order = sorted(got, key=lambda r: (r.id if r.id is not None else -1, r.h), reverse=True)
+    assert len(got) == 120 and all(a.next_t == b.t for a, b in zip(order, order[1:] + order[:1], strict=True))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
