@@ -23,7 +23,7 @@ def _held_out(scores: DataFrame, n: int, at: int) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.score_texts(documents(spark, sf_dir), remainder("doc_id", 10) != 0)
-    return _held_out(out, 10, 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return _held_out(out, 10, 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
