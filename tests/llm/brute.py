@@ -149,6 +149,8 @@ def compared(a, b):
             for j, (m, k, c) in own.items():
                 x = cells.setdefault(j, [0, 0, 0])
                 x[0], x[1], x[2] = (x[0] + sign * m) % 256, x[1] ^ k, x[2] ^ c
+        if 96 - sum(any(x) for x in cells.values()) < 6:
+            continue
         found = set()
         while pure := next((x for x in cells.values() if x[0] in (1, 255) and x[2] == check(x[1])), None):
             m, k = pure[0], pure[1]
