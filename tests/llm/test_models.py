@@ -73,26 +73,37 @@ def test_code(lm):
         assert total == sum(r.n for r in left if r.kind == kind and r.n.bit_length() - 1 == size)
 
 
-def test_encoding_by_hand(lm, sf_dir):
+def test_encoding_by_hand(lm):
     """A text's units: its own words, groups with shares, repeats, spelled words; and without its own counts."""
     model, rest, speller, counts, _ = lm
     rows = {bytes(r.word): r for r in counts.collect()}
     known = set(rest["words"])
     rare = sorted(w for w in rows if w not in known)
-    once, twice = next(w for w in rare if rows[w].n == 1), next(w for w in rare if rows[w].n == 2)
-    often = rest["words"][3]
-    text = b" ".join([once, often, b"qqqzzz", once, twice, b"qqqzzz"]).decode()
-    words = sorted({once, twice, b"qqqzzz"})
-    coder = mixing.Coder(rest, words, np.array([rows[w].n if w in rows else 0 for w in words]), np.array([rows[w].kind if w in rows else 0 for w in words]), speller)
-    n_bytes, n_tokens, n_known, base, spelt, units, places, instead = coder.encode(text, True)
+    once, twice, new = next(w for w in rare if rows[w].n == 1), next(w for w in rare if rows[w].n == 2), b"qqqzzz"
+    end, X = rest["words"].index(mixing.END), mixing.OTHER
+    units, own = np.array([X, 3, X, X, X, X, end], np.uint16), np.array([0, 2, 0, 1, 2], np.uint32)
+    n, kind = np.array([1, 2, 0]), np.array([rows[once].kind, rows[twice].kind, 0])
+    none = np.array([end], np.uint16), np.empty(0, np.uint32)
+    size, n_known, base, spelt, coded, places, instead = mixing.encode([units, none[0], units], [own, none[1], own], np.array([True, True, False]), n, kind, [new], rest, speller)
     group = lambda w: rest["groups"][rows[w].kind, rows[w].n.bit_length() - 1]
-    end = rest["words"].index(mixing.END)
-    assert np.frombuffer(units, np.uint16).tolist() == [group(once)[0], 3, rest["spelled"], rest["again"], group(twice)[0], rest["again"], end]
-    want = np.log(1 / group(once)[1]) + speller.log_prob([b"qqqzzz"])[0] + np.log(1 / 2) + np.log(2 / group(twice)[1]) + np.log(1 / 4)
-    assert abs(spelt - want) < 1e-9 and (n_bytes, n_tokens, n_known) == (len(text), 7, 5)
+    want = [group(once)[0], 3, rest["spelled"], rest["again"], group(twice)[0], rest["again"], end]
+    assert [np.frombuffer(c, np.uint16).tolist() for c in coded] == [want, [end], want]
+    spelled = np.log(1 / group(once)[1]) + speller.log_prob([new])[0] + np.log(1 / 2) + np.log(2 / group(twice)[1]) + np.log(1 / 4)
+    assert np.allclose(spelt, [spelled, 0, spelled]) and size.tolist() == [7, 1, 7] and n_known.tolist() == [5, 1, 5]
+    c = [1, rest["n"][3], 0, 1, 2, 0, rest["n"][end]]
+    assert np.allclose(base[0], sum(np.log10((x + 0.1) / (rest["total"] + 0.1 * (rest["distinct"] + 1))) for x in c))
     left = {0: rest["spelled"], 4: rest["groups"].get((rows[twice].kind, 0), (rest["spelled"],))[0]}
-    assert dict(zip(np.frombuffer(places, np.uint32).tolist(), np.frombuffer(instead, np.uint16).tolist(), strict=True)) == {k: v for k, v in left.items() if v != np.frombuffer(units, np.uint16)[k]}
-    assert coder.encode(text, False)[6:] == (b"", b"") and coder.encode(None, False)[:3] == (0, 1, 1)
+    assert dict(zip(np.frombuffer(places[0], np.uint32).tolist(), np.frombuffer(instead[0], np.uint16).tolist(), strict=True)) == {k: v for k, v in left.items() if v != want[k]}
+    assert places[1:] == [b"", b""] == instead[1:]
+
+
+def test_blocks(spark):
+    """Tokens as numbers of a block's words; kinds of a block's texts by a plain loop."""
+    texts = ["The cat  THE", None, "", "a\tb\x0bc", "é ñ É"]
+    block = mixing.Block(texts)
+    assert [[block.words[c] for c in block.codes[f : f + s]] for f, s in zip(block.first, block.size, strict=True)] == [[*mixing.tokens(t), mixing.END] for t in texts]
+    kinds = mixing.Kinds([mixing.tokens(t) for t in ["a b c", "the cat", "the dog", "a b d"]])
+    assert kinds.of(block).tolist() == [int((kinds.log_w + kinds.log_p @ kinds.vector(mixing.tokens(t))).argmax()) for t in texts]
 
 
 def mixed32(x):
@@ -106,7 +117,7 @@ def scored_by_loop(model, doc):
     code, K = model.code, mixing.PREDICTORS
     bounds = mixing.chunk_bounds(len(doc)).tolist()
     shift, hits = np.zeros(K), {}
-    own, nats, post, kind = [Counter(), Counter()], 0.0, np.array(code.log_w, float), int(np.argmax(code.log_w))
+    own, nats, post, kind = Counter(), 0.0, np.array(code.log_w, float), int(np.argmax(code.log_w))
     begin = 0
     for end in bounds:
         chunk = doc[begin:end].tolist()
@@ -121,13 +132,12 @@ def scored_by_loop(model, doc):
                 h = node * 0x9E3779B1 % 2**32
                 last = mixed32((h + one * 0x85EBCA77) % 2**32)
                 pair = mixed32((h + one * 0x85EBCA77 + two * 0xC2B2AE3D + 1) % 2**32)
-                slots = [(0, mixed32(h) >> 32 - mixing.OWN_BITS), (1, (last * 0x9E3779B1 % 2**32) >> 32 - mixing.OWN_BITS)]
+                slot = mixed32(h) >> 32 - mixing.OWN_BITS
                 prior = 1 / (1 + np.exp(-float(code.by_kind[kind, node])))
-                x = [float(code.plain[node]), float(code.by_kind[kind, node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15]
-                for k, slot in slots:
-                    x.append(np.log((own[k][slot, 1] + mixing.OWN_PULL * prior) / (own[k][slot, 0] + mixing.OWN_PULL * (1 - prior))))
+                x = [float(code.by_kind[kind, node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15]
+                x.append(np.log((own[slot, 1] + mixing.OWN_PULL * prior) / (own[slot, 0] + mixing.OWN_PULL * (1 - prior))))
                 x = np.array([*x, 0.3])
-                n = own[0][slots[0][1], 0] + own[0][slots[0][1], 1]
+                n = own[slot, 0] + own[slot, 1]
                 gate = code.level[node] * mixing.SEEN + (n > 0) + (n > 3) + (n > 15)
                 s = np.clip((model.start.weights[:, gate] + shift) @ x, 0.01 - mixing.SPREAD, mixing.SPREAD - 0.01)
                 p = 1 / (1 + np.exp(-s))
@@ -138,14 +148,13 @@ def scored_by_loop(model, doc):
                 p = 0.5 * p + 0.5 * (table(low) + (cell - low) * (table(low + 1) - table(low)))
                 nats += np.log(p if bit else 1 - p)
                 met.append(((code.level[node], low + (cell - low >= 0.5)), bit))
-                bits += [(k, (slot, int(bit))) for k, slot in slots]
+                bits.append((slot, int(bit)))
         shift = np.clip(shift + mixing.RATE * pull / (events + mixing.CALM), -mixing.MOST_SHIFT, mixing.MOST_SHIFT)
         for cell, bit in met:
             hits.setdefault(cell, [0, 0])
             hits[cell][0] += 1
             hits[cell][1] += bit
-        for k, slot in bits:
-            own[k][slot] += 1
+        own.update(bits)
         post += code.log_p[chunk].sum(axis=0)
         kind = int(post.argmax())
         begin = end
