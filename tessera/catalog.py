@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, compare, entities, filters, joins, scalars, scans, serving, streams, timeline, windows  # noqa: F401  they register their queries
+from .plans import aggregates, compare, entities, filters, imports, joins, scalars, scans, serving, streams, timeline, windows  # noqa: F401  they register their queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -50,6 +50,21 @@ def filter_strategy(answer_type: str | None) -> str:
     return "numeric" if parts and parts <= {"number", "integer", "number.integer"} else "open"
 
 
+def options_of(answer_type: Column) -> Column:
+    """:func:`enum_values` of a column."""
+    quoted = F.regexp_extract_all(F.coalesce(answer_type, F.lit("")), F.lit(r"""'[^']*'|"[^"]*\""""), F.lit(0))
+    return F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+
+
+def strategy_of(answer_type: Column) -> Column:
+    """:func:`filter_strategy` of a column."""
+    base = F.lower(F.trim(F.regexp_replace(F.trim(F.coalesce(answer_type, F.lit(""))), r"\[\]$", "")))
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    parts = F.array_except(F.transform(F.split(base, r"\|"), lambda p: F.trim(p)), names("null", "undefined"))
+    numeric = (F.size(parts) > 0) & (F.size(F.array_except(parts, names("number", "integer", "number.integer"))) == 0)
+    return F.when(F.size(options_of(answer_type)) > 0, "enum").when(numeric, "numeric").otherwise("open")
+
+
 def unexpected(answers: Column, allowed: list[str]) -> Column:
     """Null, blank or empty answers, and those with a member outside ``allowed``."""
     options = F.array(*[F.lit(a) for a in allowed])

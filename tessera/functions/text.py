@@ -124,14 +124,6 @@ def chunks_udf(limit: int):
     return run
 
 
-def sections_udf(limit: int):
-    @pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_sections(t or "", limit))
-
-    return run
-
-
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 _BAD_ESCAPE = re.compile(r"\\(?:(\\)|(?![\"/bfnrtu]))")
 
@@ -221,6 +213,21 @@ def remap_keys(found: list[str], expected: list[str]) -> dict[str, str]:
     return out
 
 
+def remapped(found: Column, expected: Column) -> Column:
+    """:func:`remap_keys` of two array columns: structs (found, expected)."""
+    equal = F.transform(F.array_intersect(found, expected), lambda k: F.struct(k.alias("found"), k.alias("expected")))
+
+    def step(state: Column, k: Column) -> Column:
+        hit = F.try_element_at(F.filter(state["free"], lambda e: F.levenshtein(k, e) <= 1), F.lit(1))
+        free = F.when(hit.isNull(), state["free"]).otherwise(F.array_remove(state["free"], hit))
+        pairs = F.when(hit.isNull(), state["pairs"]).otherwise(F.array_append(state["pairs"], F.struct(k.alias("found"), hit.alias("expected"))))
+        return F.struct(free.alias("free"), pairs.alias("pairs"))
+
+    none = F.array().cast("array<struct<found:string,expected:string>>")
+    start = F.struct(F.array_except(expected, found).alias("free"), none.alias("pairs"))
+    return F.concat(equal, F.aggregate(F.array_except(found, expected), start, step)["pairs"])
+
+
 def valid_quotes(text: Column, quotes: Column) -> Column:
     """Distinct quotes that occur in the text, both with white space collapsed and lower-cased."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

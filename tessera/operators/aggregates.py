@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .rows import indexed
+
 MOST_BINS = 10
 
 
@@ -39,17 +41,19 @@ def quantile_bins(df: DataFrame, col: str, most: int = MOST_BINS) -> DataFrame:
     """(bin, low, high, n) of distinct values: beyond three, values outside the quartiles by 1.5 IQR
     are left out; up to ``most`` values stand alone, more are dealt evenly.
 
-    Ranks come from a window over distinct values only, a facet's few options."""
+    Distinct values are numbered range by range (see :mod:`.rows`), quartiles are the values at their places, and
+    what outliers there are below is a count: nothing but ranges' counts meets in one task."""
     v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v")).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("v")
-    ranked = v.withColumn("rn", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    at = lambda q: F.max(F.when(F.col("rn") == F.floor(F.col("total") * q), F.col("v"))).over(Window.partitionBy(F.lit(0)))
-    ranked = ranked.withColumn("q1", at(0.25)).withColumn("q3", at(0.75))
+    ranked = indexed(v, ["v"], "rn")
+    total = F.broadcast(v.agg(F.count(F.lit(1)).alias("total")))  # one row, as the next two
+    at = lambda q: F.max(F.when(F.col("rn") == F.floor(F.col("total") * q), F.col("v")))
+    fence = F.broadcast(ranked.crossJoin(total).groupBy("total").agg(at(0.25).alias("q1"), at(0.75).alias("q3")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    kept = ranked.where((F.col("total") < 4) | F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
-    kept = kept.withColumn("k", F.row_number().over(w) - 1).withColumn("n_kept", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    inside = (F.col("total") < 4) | F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+    kept = ranked.crossJoin(fence).where(inside).select("v", "rn")
+    first = F.broadcast(kept.agg(F.min("rn").alias("first"), F.count(F.lit(1)).alias("n_kept")))
     size = F.when(F.col("n_kept") <= most, 1).otherwise(F.ceil(F.col("n_kept") / most))
-    return kept.groupBy(F.floor(F.col("k") / size).cast("long").alias("bin")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    return kept.crossJoin(first).groupBy(F.floor((F.col("rn") - F.col("first")) / size).cast("long").alias("bin")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
 def nearest_rank(df: DataFrame, col: str, share: float, ties: list[str]) -> DataFrame:

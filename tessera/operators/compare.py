@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,21 +17,35 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def build_cells(judgments: DataFrame, humans: DataFrame) -> DataFrame:
-    """(article_id, column_id, kind, model_id, prompt_id, answers): the latest answer of each rater."""
-    j = latest(judgments, ["article_id", "model_id", "prompt_id"], [F.desc_nulls_last("created_s"), F.desc_nulls_last("judgment_id")])
+    """(article_id, column_id, kind, model_id, prompt_id, answers): the latest answer of each rater.
+
+    Judgments are dealt by article, which also serves what is later grouped by article: no second shuffle."""
+    j = latest(judgments.repartition("article_id"), ["article_id", "model_id", "prompt_id"], [F.desc_nulls_last("created_s"), F.desc_nulls_last("judgment_id")])
     llm = j.select("article_id", F.concat_ws(":", F.lit("llm"), "model_id", "prompt_id").alias("column_id"), F.lit("llm").alias("kind"), "model_id", "prompt_id", A.normalized(F.col("answer_list"), F.col("answer_json"), F.col("answer")).alias("answers"))
     own = humans.select("article_id", F.concat_ws(":", F.lit("human"), "prompt_id").alias("column_id"), F.lit("human").alias("kind"), F.lit(None).cast("long").alias("model_id"), "prompt_id", F.array("answer").alias("answers"))
     return llm.unionByName(own)
 
 
+def grouped_cells(cells: DataFrame) -> DataFrame:
+    """(article_id, cells): an article's cells, which are those of its few columns, as one list of structs."""
+    c = cells.select("article_id", F.struct("prompt_id", "column_id", "kind", "answers", A.decision(F.col("answers")).alias("decision")).alias("c"))
+    return c.groupBy("article_id").agg(F.collect_list("c").alias("cells"))
+
+
+def pairs_of(cells) -> Column:
+    """All ordered pairs (left, right) of answered cells of one prompt in a list of :func:`grouped_cells`."""
+    some = F.filter(cells, lambda c: F.size(c["answers"]) > 0)
+    right = lambda a: F.filter(some, lambda b: (a["prompt_id"] == b["prompt_id"]) & (a["column_id"] < b["column_id"]))
+    return F.flatten(F.transform(some, lambda a: F.transform(right(a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+
+
 def pair_up(cells: DataFrame) -> DataFrame:
     """One row per article and ordered pair of answered columns of one prompt, humans to the left.
 
-    The pairs of an article are those of its few columns, so the self-join stays linear in articles."""
-    c = cells.where(F.size("answers") > 0).select("article_id", "prompt_id", "column_id", "answers", A.decision(F.col("answers")).alias("decision"))
-    left = c.select("article_id", "prompt_id", *[F.col(x).alias(f"left_{x}") for x in ("column_id", "answers", "decision")])
-    right = c.select("article_id", "prompt_id", *[F.col(x).alias(f"right_{x}") for x in ("column_id", "answers", "decision")])
-    return left.join(right, ["article_id", "prompt_id"]).where("left_column_id < right_column_id")
+    Pairs are made within an article's list of cells: one shuffle and no join of the cells with themselves."""
+    p = grouped_cells(cells).select("article_id", F.explode(pairs_of(F.col("cells"))).alias("p"))
+    sides = [F.col(f"p.{side}.{x}").alias(f"{side}_{x}") for side in ("left", "right") for x in ("column_id", "answers", "decision")]
+    return p.select("article_id", F.col("p.left.prompt_id").alias("prompt_id"), *sides)
 
 
 def pair_counts(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -93,26 +107,27 @@ def with_truth_metrics(counts: DataFrame) -> DataFrame:
 
 
 def article_flags(cells: DataFrame, articles: DataFrame) -> DataFrame:
-    """Roll-up flags of every article: what is answered, who agrees, who differs."""
-    c = cells.withColumn("decision", A.decision(F.col("answers"))).withColumn("answered", F.size("answers") > 0)
-    n = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
-    llm, own = F.col("kind") == "llm", F.col("kind") == "human"
-    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    own_flags = c.groupBy("article_id").agg(
-        n(F.col("answered")).alias("answered_columns"), n(llm & F.col("answered")).alias("llm_answered"), n(own & F.col("answered")).alias("human_answered"),
-        some(F.size("answers") > 1).alias("multiple_answers"), some(llm & F.array_contains("answers", "yes")).alias("llm_yes"), some(llm & F.array_contains("answers", "no")).alias("llm_no"), some(llm & F.array_contains("answers", "maybe")).alias("llm_maybe"),
-        some(own & F.array_contains("answers", "yes")).alias("human_yes"), some(own & F.array_contains("answers", "no")).alias("human_no"),
-    )
-    p = pair_up(cells)
-    mixed = F.col("left_column_id").startswith("human") & F.col("right_column_id").startswith("llm")
-    models = F.col("left_column_id").startswith("llm")
-    differ = F.array_join(F.array_sort("left_answers"), "|") != F.array_join(F.array_sort("right_answers"), "|")
-    opposite = F.coalesce(F.col("left_decision") != F.col("right_decision"), F.lit(False))
-    pair_flags = p.groupBy("article_id").agg(
-        some(mixed).alias("human_llm_overlap"), some(mixed & differ).alias("human_llm_difference"), some(mixed & opposite).alias("human_llm_true_conflict"),
-        some(models & differ).alias("llm_llm_difference"), some(models & opposite).alias("llm_llm_true_difference"),
-    )
-    out = articles.select("article_id").join(own_flags, "article_id", "left").join(pair_flags, "article_id", "left")
+    """Roll-up flags of every article: what is answered, who agrees, who differs. Own and pair flags are read
+    off an article's list of cells, so the cells are built and grouped once."""
+    x = grouped_cells(cells).withColumn("pairs", pairs_of(F.col("cells")))
+    has = lambda kind, word=None: F.exists("cells", lambda c: (c["kind"] == kind) & (F.array_contains(c["answers"], word)))
+    n = lambda cond: F.size(F.filter("cells", lambda c: (F.size(c["answers"]) > 0) & cond(c))).cast("long")
+    own_flags = {
+        "answered_columns": n(lambda c: F.lit(True)), "llm_answered": n(lambda c: c["kind"] == "llm"), "human_answered": n(lambda c: c["kind"] == "human"), "multiple_answers": F.exists("cells", lambda c: F.size(c["answers"]) > 1),
+        "llm_yes": has("llm", "yes"), "llm_no": has("llm", "no"), "llm_maybe": has("llm", "maybe"), "human_yes": has("human", "yes"), "human_no": has("human", "no"),
+    }
+    mixed = lambda p: (p["left"]["kind"] == "human") & (p["right"]["kind"] == "llm")
+    models = lambda p: p["left"]["kind"] == "llm"
+    text = lambda c: F.array_join(F.array_sort(c["answers"]), "|")
+    differ = lambda p: text(p["left"]) != text(p["right"])
+    opposite = lambda p: F.coalesce(p["left"]["decision"] != p["right"]["decision"], F.lit(False))
+    some = lambda cond: F.exists("pairs", cond)
+    pair_flags = {
+        "human_llm_overlap": some(mixed), "human_llm_difference": some(lambda p: mixed(p) & differ(p)), "human_llm_true_conflict": some(lambda p: mixed(p) & opposite(p)),
+        "llm_llm_difference": some(lambda p: models(p) & differ(p)), "llm_llm_true_difference": some(lambda p: models(p) & opposite(p)),
+    }
+    flags = x.select("article_id", *[F.coalesce(v, F.lit(False) if k not in ("answered_columns", "llm_answered", "human_answered") else F.lit(0)).alias(k) for k, v in (own_flags | pair_flags).items()])
+    out = articles.select("article_id").join(flags, "article_id", "left")
     fill = {k: 0 for k, t in out.dtypes if t == "bigint" and k != "article_id"} | {k: False for k, t in out.dtypes if t == "boolean"}
     out = out.fillna(fill)
     return out.withColumn("any_disagreement", F.col("human_llm_difference") | F.col("llm_llm_difference"))
@@ -120,15 +135,15 @@ def article_flags(cells: DataFrame, articles: DataFrame) -> DataFrame:
 
 def summary_answers(cells: DataFrame, prompts: DataFrame) -> DataFrame:
     """One answer per article and rater over all enabled prompts: null unless each is answered; a yes
-    to an exclusion or a no to an inclusion gives no, else any maybe gives maybe, else yes."""
+    to an exclusion or a no to an inclusion gives no, else any maybe gives maybe, else yes.
+
+    ``prompts`` is a project's configuration, some dozens of rows, and is broadcast as such."""
     live = prompts.where("enabled")
-    rater = F.coalesce(F.concat_ws(":", F.lit("llm"), "model_id"), F.lit("human"))
     x = cells.withColumn("rater", F.when(F.col("kind") == "human", "human").otherwise(F.concat_ws(":", F.lit("llm"), "model_id"))).join(F.broadcast(live.select("prompt_id", "prompt_type")), "prompt_id")
     first = F.when(F.size("answers") > 0, F.col("answers")[0])
     no = F.when(F.col("prompt_type") == "exclude", first == "yes").otherwise(first == "no")
     total = F.broadcast(live.agg(F.count(F.lit(1)).alias("prompts")))  # one row
     g = x.groupBy("article_id", "rater").agg(F.count_distinct(F.when(first.isNotNull(), F.col("prompt_id"))).alias("answered"), F.bool_or(no).alias("any_no"), F.bool_or(first == "maybe").alias("any_maybe"))
-    del rater
     return g.crossJoin(total).select("article_id", "rater", F.when(F.col("answered") == F.col("prompts"), F.when(F.col("any_no"), "no").when(F.col("any_maybe"), "maybe").otherwise("yes")).alias("summary"))
 
 

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def build_postings(rows: DataFrame, kind: str, value: str, item: str = "article_id") -> DataFrame:
-    """(filter_kind, filter_value, ids): sorted distinct ids of each value.
+#: A posting list is cut into chunks of so many neighbouring ids, so that a frequent value makes many rows and no long one.
+CHUNK = 4096
 
-    A list is as long as its value is frequent, like the index it stands for; operators below read
-    the exploded form, so that no list has to be gathered to be counted or intersected."""
-    return rows.where(F.col(value).isNotNull()).groupBy(F.lit(kind).alias("filter_kind"), F.col(value).cast("string").alias("filter_value")).agg(F.array_sort(F.collect_set(item)).alias("ids"))
+
+def build_postings(rows: DataFrame, kind: str, value: str, item: str = "article_id", only: list[str] | None = None) -> DataFrame:
+    """(filter_kind, filter_value, chunk, ids): sorted distinct ids of each value (``only`` those given), by id range."""
+    text = F.col(value).cast("string")
+    src = rows.where(text.isNotNull() if only is None else text.isin(only))
+    return src.groupBy(F.lit(kind).alias("filter_kind"), text.alias("filter_value"), F.floor(F.col(item) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_set(item)).alias("ids"))
 
 
 def intersect_postings(postings: DataFrame, groups: list[tuple[str, list[str]]]) -> DataFrame:
@@ -27,8 +31,8 @@ def intersect_postings(postings: DataFrame, groups: list[tuple[str, list[str]]])
 
 def apply_posting_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
     """Ids join (add true) or leave lists; lists stay sorted and distinct, empty ones go."""
-    keys = ["filter_kind", "filter_value"]
-    delta = changes.groupBy(*keys).agg(F.collect_set(F.when(F.col("add"), F.col("article_id"))).alias("plus"), F.collect_set(F.when(~F.col("add"), F.col("article_id"))).alias("minus"))
+    keys = ["filter_kind", "filter_value", "chunk"]
+    delta = changes.withColumn("chunk", F.floor(F.col("article_id") / CHUNK)).groupBy(*keys).agg(F.collect_set(F.when(F.col("add"), F.col("article_id"))).alias("plus"), F.collect_set(F.when(~F.col("add"), F.col("article_id"))).alias("minus"))
     none = F.array().cast("array<bigint>")
     x = postings.join(delta, keys, "full")
     ids = F.array_sort(F.array_union(F.array_except(F.coalesce("ids", none), F.coalesce("minus", none)), F.coalesce("plus", none)))
@@ -94,58 +98,95 @@ def claimable(work: DataFrame, now: int, lease_s: int = 900) -> DataFrame:
 
 
 class Generations:
-    """A versioned relation: immutable Parquet directories and a pointer to the active one.
+    """A versioned relation: immutable Parquet directories and numbered pointers, of which the highest is active.
 
-    All file access goes through Spark's file system layer, so the folder may be on any store.
-    Promotion is compare-and-swap on the expected active number; readers only follow the pointer."""
+    All file access goes through Spark's file system layer, so the folder may be on any store. A candidate is
+    staged under a name of its own; promotion creates the pointer of the next number, which fails if another writer
+    has done so first, and never deletes one that readers may follow. A pointer names the folder of each part."""
 
     def __init__(self, spark, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._staged: dict[int, dict[str, str]] = {}
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _names(self) -> list[str]:
+        fs, p = self._fs(self.root)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(n.rpartition(".")[2]) for n in self._names() if n.startswith(f"{kind}."))
+
     def active(self) -> int | None:
-        fs, p = self._fs(f"{self.root}/active.json")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/active.json", wholetext=True).first()[0])["generation"]
+        return max(self._numbers("active"), default=None)
 
-    def _folder(self, n: int) -> str:
-        return f"{self.root}/generation={n}"
+    def parts(self, n: int | None) -> dict[str, str]:
+        """Folders of a promoted generation by part; none for None."""
+        return {} if n is None else json.loads(self.spark.read.text(f"{self.root}/active.{n}", wholetext=True).first()[0])
 
-    def stage(self, df: DataFrame) -> int:
-        n = (self.active() or 0) + 1
-        df.write.mode("overwrite").parquet(self._folder(n))
+    def stage(self, df: DataFrame, by: str | None = None) -> int:
+        """Write a candidate: all of it, or, cut by column ``by``, the parts that ``df`` has (the others stay as in the
+        active generation)."""
+        active = self.active()
+        n = max([active or 0, *self._numbers("failed")]) + 1
+        folder = f"generation={n}-{uuid.uuid4().hex[:12]}"
+        if by is None:
+            df.write.parquet(f"{self.root}/{folder}")
+            self._staged[n] = {"": folder}
+        else:
+            df.write.partitionBy(by).parquet(f"{self.root}/{folder}")
+            fs, p = self._fs(f"{self.root}/{folder}")
+            own = [s.getPath().getName() for s in fs.listStatus(p) if "=" in s.getPath().getName()]
+            self._staged[n] = self.parts(active) | {name.split("=")[1]: f"{folder}/{name}" for name in own}
         return n
 
+    def _create(self, name: str, text: str) -> bool:
+        """A new file; False if it is there already."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:  # the store's own exclusive creation decides between writers
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(text.encode())
+        out.close()
+        return True
+
     def promote(self, n: int, expected: int | None, checks: DataFrame | None = None) -> bool:
-        """Make ``n`` active if ``expected`` still is and no row of ``checks`` complains."""
-        if self.active() != expected or (checks is not None and not checks.isEmpty()):
+        """Make the staged ``n`` active if ``expected`` still is and no row of ``checks`` complains; a candidate that
+        fails its checks is marked so, and its number isn't used again."""
+        if n not in self._staged or self.active() != expected:
             return False
-        fs, p = self._fs(f"{self.root}/active.json")
-        tmp_fs, tmp = self._fs(f"{self.root}/active.json.{n}")
-        out = tmp_fs.create(tmp, True)
-        out.write(json.dumps({"generation": n}).encode())
-        out.close()
-        fs.delete(p, False)
-        return bool(fs.rename(tmp, p))
+        if checks is not None and not checks.isEmpty():
+            self._create(f"failed.{n}", "")
+            return False
+        return self._create(f"active.{n}", json.dumps(self._staged[n]))
 
-    def read(self) -> DataFrame:
+    def states(self) -> dict[int, str]:
+        """candidate, active, retired or failed, by number."""
+        active, failed = self.active(), set(self._numbers("failed"))
+        staged = {int(n.split("=")[1].split("-")[0]) for n in self._names() if n.startswith("generation=")}
+        return {n: "failed" if n in failed else "active" if n == active else "retired" if n in self._numbers("active") else "candidate" for n in sorted(staged | failed)}
+
+    def read(self, parts: list[str] | None = None) -> DataFrame:
+        """The active generation, or those of the given parts that it has."""
         n = self.active()
         if n is None:
             raise ValueError("no active generation")
-        return self.spark.read.parquet(self._folder(n))
+        folders = [f for part, f in self.parts(n).items() if parts is None or part in parts]
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
 
     def retain(self, keep: int = 2, pinned: tuple[int, ...] = ()) -> list[int]:
-        """Delete generations but the active one, pinned ones and the latest ``keep`` before it."""
-        fs, p = self._fs(self.root)
-        have = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("generation="))
-        active = self.active()
-        kept = {active, *pinned, *[n for n in have if n < (active or 0)][-keep:], *[n for n in have if n > (active or 0)]}
+        """Delete what no kept pointer names: kept are the active one, pinned ones, the latest ``keep`` before it and
+        candidates. Returns the numbers of the pointers that went."""
+        have, active = self._numbers("active"), self.active()
+        kept = {active, *pinned, *[n for n in have if n < (active or 0)][-keep:]}
         gone = [n for n in have if n not in kept]
-        for n in gone:
-            f, q = self._fs(self._folder(n))
-            f.delete(q, True)
+        used = {f.split("/")[0] for n in have if n in kept for f in self.parts(n).values()}
+        for name in [f"active.{n}" for n in gone] + [x for x in self._names() if x.startswith("generation=") and int(x.split("=")[1].split("-")[0]) <= (active or 0) and x not in used]:
+            fs, p = self._fs(f"{self.root}/{name}")
+            fs.delete(p, True)
         return gone

@@ -47,6 +47,13 @@ def aligned_range(preset: str, now: int) -> tuple[int, int, int]:
     return end - length, end, width
 
 
+def aligned_columns(preset: str, now: Column) -> list[Column]:
+    """:func:`aligned_range` of a column: start_s, end_s and width."""
+    length, width = PRESETS[preset]
+    end = (F.floor(now / width) * width).cast("long")
+    return [(end - length).alias("start_s"), end.alias("end_s"), F.lit(width).cast("long").alias("width")]
+
+
 def dedupe_slots(samples: DataFrame, keys: list[str], cadence: int, time_col: str = "sampled_s") -> DataFrame:
     """One sample (the earliest) per key and cadence slot."""
     w = Window.partitionBy(*keys, "slot").orderBy(time_col, "event_id")

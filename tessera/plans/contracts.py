@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import filters as L
 
@@ -49,6 +51,38 @@ def admit(key: str, limit: int = 100, filters: dict | None = None, freshness: st
     return "accept"
 
 
+def admitted(requests: DataFrame) -> DataFrame:
+    """:func:`admit` of a table of requests (contract, row_limit, filters, freshness, search_mode): adds ``decision``."""
+    spark = requests.sparkSession
+    rows = [(c.key, list(c.filters), c.most_rows, list(c.freshness), list(c.search_modes)) for c in CONTRACTS.values()]
+    known = spark.createDataFrame(rows, "contract string, _filters array<string>, _most long, _fresh array<string>, _modes array<string>")
+    why = (
+        F.when(F.col("_most").isNull(), "unknown contract").when(F.size(F.array_except(F.coalesce("filters", F.array().cast("array<string>")), "_filters")) > 0, "unknown filter")
+        .when(F.col("row_limit") > F.col("_most"), "page too large").when(F.col("row_limit") <= 0, "empty page").when(~F.array_contains("_fresh", F.col("freshness")), "not ready")
+        .when(~F.array_contains("_modes", F.col("search_mode")), F.concat("search_mode", F.lit(" search is a job"))).otherwise("accept")
+    )
+    return requests.join(F.broadcast(known), "contract", "left").withColumn("decision", why).drop("_filters", "_most", "_fresh", "_modes")  # a row a contract
+
+
+def shape_problems(df: DataFrame, tables: set[str], most_rows: int = 500) -> list[str]:
+    """Why a foreground read is refused by its analysed plan: relations that aren't registered, joins without a key, and
+    results that no limit or aggregation bounds."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    found = [f"unregistered relation {name}" for name in sorted(_relations(df) - tables)]
+    if re.search(r"Join (Inner|Cross|LeftOuter|RightOuter|FullOuter)\s*$|Join Cross", text, re.M):
+        found.append("join without a key")
+    rows = plan.maxRows()
+    if rows.isEmpty() or rows.get() > most_rows:
+        found.append(f"more than {most_rows} rows")
+    return found
+
+
+def _relations(df: DataFrame) -> set[str]:
+    """Last folder or file names, without extension, of what a plan reads."""
+    return {f.rstrip("/").split("/")[-2 if "/part-" in f else -1].split(".")[0] for f in df.inputFiles()}
+
+
 def read(key: str, table: DataFrame, filters: dict, limit: int = 100, cursor: str | None = None) -> DataFrame:
     """A page (and one row more) of a declared read, or ValueError with the reason."""
     why = admit(key, limit, filters)

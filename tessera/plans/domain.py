@@ -13,11 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: title, import route, year, creation second, list-mode flags."""
+    """One row per document: title (its first line, whole), import route, year, creation second, list-mode flags."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
-        i.alias("article_id"), F.left("text", F.lit(80)).alias("title"), F.col("source").alias("route"), "lang", "n_chars",
+        i.alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("route"), "lang", "n_chars",
         (1990 + i % 35).alias("year"), (EPOCH + (i * 7919) % 31_536_000).alias("created_s"), (i % 3 == 0).alias("curated"),
         (i % 2 == 0).alias("has_llm"), F.when(i % 7 != 0, i % 5 < 2).alias("has_human"), (i % 11 == 0).alias("duplicate"), (i % 13 == 0).alias("conflict"),
     )
@@ -82,7 +82,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same rules for DuckDB.
-ARTICLE = """article AS (SELECT doc_id AS article_id, left(text, 80) AS title, source AS route, lang, n_chars, 1990 + doc_id % 35 AS year,
+ARTICLE = """article AS (SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, source AS route, lang, n_chars, 1990 + doc_id % 35 AS year,
   1704067200 + (doc_id * 7919) % 31536000 AS created_s, doc_id % 3 = 0 AS curated, doc_id % 2 = 0 AS has_llm,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 < 2 END AS has_human, doc_id % 11 = 0 AS duplicate, doc_id % 13 = 0 AS conflict FROM documents)"""
 PROMPT = """prompt(prompt_id, prompt_order, heading, prompt_type, enabled) AS (VALUES (1::BIGINT, 1, 'Include?', 'include', true), (2, 2, 'Exclude?', 'exclude', true),

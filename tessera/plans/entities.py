@@ -85,11 +85,13 @@ def resolve_canonical_fields(spark, d):
     return resolve.canonical_fields(x)
 
 
-@query("SELECT * FROM (VALUES ('Crossref publisher', 0), ('landing-page', 1), ('medRxiv', 2), ('refs.RIS', 3), ('manual', 4)) t(source, rank)")
+@query("SELECT page_id, CASE WHEN page_id % 7 = 5 THEN 0 ELSE CASE page_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 2 END END AS rank FROM pages")
 def resolve_trust(spark, d):
-    """Source trust."""
-    x = spark.createDataFrame([("Crossref publisher",), ("landing-page",), ("medRxiv",), ("refs.RIS",), ("manual",)], "source string")
-    return x.withColumn("rank", resolve.trust_rank(F.col("source")))
+    """Source trust, the more trusted of two names in one source."""
+    i = F.col("page_id")
+    name = F.when(i % 6 == 0, "Crossref ").when(i % 6 == 1, "a LANDING page ").when(i % 6 == 2, "medRxiv ").when(i % 6 == 3, "refs.RIS ").when(i % 6 == 4, "by hand ").otherwise("Preprint ")
+    source = F.concat(name, i.cast("string"), F.when(i % 7 == 5, " Publisher").otherwise(""))
+    return D.table(spark, d, "pages").select("page_id", resolve.trust_rank(source).alias("rank"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS article_id, CASE l_linenumber % 5 WHEN 0 THEN 'preprint' WHEN 1 THEN 'submitted' WHEN 2 THEN 'accepted' WHEN 3 THEN 'published' ELSE 'retracted' END AS st, CASE l_linenumber % 5 WHEN 4 THEN 5 ELSE l_linenumber % 5 + 1 END AS r FROM lineitem) SELECT article_id, arg_max(st, r) AS status FROM s GROUP BY 1""")

@@ -95,11 +95,12 @@ def project_exclude_truncate(spark, d):
     return D.table(spark, d, "documents").withColumn("summary", F.left("text", F.lit(200))).drop("text")
 
 
-@query("SELECT * FROM (VALUES ('''yes'' | ''no''', 'enum', 'yes,no'), ('number', 'numeric', ''), ('string[]', 'open', ''), ('number | null', 'numeric', '')) t(answer_type, strategy, options)")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'enum' WHEN 1 THEN 'numeric' WHEN 2 THEN 'open' WHEN 3 THEN 'numeric' WHEN 4 THEN 'enum' ELSE 'open' END AS strategy, CASE doc_id % 6 WHEN 0 THEN 'yes,no' WHEN 4 THEN source || ',' || coalesce(lang, '?') ELSE '' END AS options FROM documents""")
 def filter_strategies(spark, d):
     """how answers of a type are filtered."""
-    types = ["'yes' | 'no'", "number", "string[]", "number | null"]
-    return spark.createDataFrame([(t, A.filter_strategy(t), ",".join(A.enum_values(t))) for t in types], "answer_type string, strategy string, options string")
+    i = F.col("doc_id") % 6
+    kind = F.when(i == 0, "'yes' | 'no'").when(i == 1, " Number ").when(i == 2, "string[]").when(i == 3, "number.integer | null").when(i == 4, F.concat(F.lit("'"), "source", F.lit("' | \""), F.coalesce("lang", F.lit("?")), F.lit('"')))
+    return D.table(spark, d, "documents").select("doc_id", A.strategy_of(kind).alias("strategy"), F.array_join(A.options_of(kind), ",").alias("options"))
 
 
 @query(D.with_(D.JUDGMENT) + "SELECT answer, count(*) AS n, count(*) FILTER (answer_list IS NOT NULL) AS listed FROM judgment WHERE answer IS NULL OR trim(answer) = '' OR answer NOT IN ('Yes', 'no') GROUP BY 1")

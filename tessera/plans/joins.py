@@ -34,10 +34,11 @@ def join_semi(spark, d):
     return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def join_anti(spark, d):
     """NOT EXISTS."""
-    return D.table(spark, d, "customer").join(D.table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    urgent = D.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 100000")
+    return D.table(spark, d, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query(D.with_(D.ARTICLE, D.PROMPT) + "SELECT prompt_id, count(*) AS pairs, count(*) FILTER (curated) AS curated_pairs FROM article, prompt WHERE enabled GROUP BY 1")
@@ -57,12 +58,13 @@ def join_scope_fallback(spark, d):
     return a.crossJoin(F.broadcast(cfg)).where(pick).select("article_id")
 
 
-@query("SELECT r.k AS chunk, count(*) AS n, min(o_orderkey) AS first_key FROM orders JOIN (SELECT range AS k, range * 1000 AS lo, range * 1000 + 499 AS hi FROM range(0, 20)) r ON o_orderkey BETWEEN r.lo AND r.hi GROUP BY 1")
+@query("SELECT r.k AS chunk, count(*) AS n, min(o_orderkey) AS first_key FROM orders JOIN (SELECT k, k * 1000 AS lo, k * 1000 + 499 AS hi FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) // 1000 + 1 FROM orders))) AS k)) r ON o_orderkey BETWEEN r.lo AND r.hi GROUP BY 1")
 def join_range(spark, d):
-    """Keys in one of many ranges. Ranges of one width are found by division, an equi-join."""
-    r = spark.range(20).select(F.col("id").alias("chunk"), (F.col("id") * 1000).alias("lo"), (F.col("id") * 1000 + 499).alias("hi"))
+    """Keys in one of many ranges, over the keys' whole span. Ranges of one width are found by division, an
+    equi-join whose sides Catalyst weighs, as ranges grow with the span."""
     o = D.table(spark, d, "orders").select("o_orderkey").withColumn("cell", F.floor(F.col("o_orderkey") / 1000))
-    x = o.join(F.broadcast(r), (F.col("cell") == F.col("chunk")) & F.col("o_orderkey").between(F.col("lo"), F.col("hi")))
+    r = o.agg(F.max("cell").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk")).select("chunk", (F.col("chunk") * 1000).alias("lo"), (F.col("chunk") * 1000 + 499).alias("hi"))
+    x = o.join(r, (F.col("cell") == F.col("chunk")) & F.col("o_orderkey").between(F.col("lo"), F.col("hi")))
     return x.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
@@ -94,13 +96,13 @@ def join_latest_subquery(spark, d):
     return D.judgment(spark, d).withColumn("m", F.max("created_s").over(w)).where("created_s = m").select("judgment_id")
 
 
-@query(D.with_(D.JUDGMENT) + "SELECT a.article_id, a.model_id, a.prompt_id AS left_prompt, b.prompt_id AS right_prompt FROM judgment a JOIN judgment b ON a.article_id = b.article_id AND a.model_id = b.model_id AND a.generation = b.generation AND a.answer = b.answer AND a.prompt_id < b.prompt_id WHERE a.answer = 'maybe'")
+@query(D.with_(D.JUDGMENT) + "SELECT a.article_id, a.model_id, a.prompt_id AS left_prompt, b.prompt_id AS right_prompt FROM judgment a JOIN judgment b ON a.article_id = b.article_id AND a.model_id = b.model_id AND a.generation = b.generation AND a.answer = b.answer AND a.prompt_id < b.prompt_id WHERE a.answer <> ''")
 def join_self_collisions(spark, d):
     """One business key under two prompts."""
-    j = D.judgment(spark, d).where("answer = 'maybe'")
-    a = j.select("article_id", "model_id", "generation", F.col("prompt_id").alias("left_prompt"))
-    b = j.select("article_id", "model_id", "generation", F.col("prompt_id").alias("right_prompt"))
-    return a.join(b, ["article_id", "model_id", "generation"]).where("left_prompt < right_prompt").drop("generation")
+    keys = ["article_id", "model_id", "generation", "answer"]
+    j = D.judgment(spark, d).where("answer <> ''")
+    a, b = (j.select(*keys, F.col("prompt_id").alias(f"{side}_prompt")) for side in ("left", "right"))
+    return a.join(b, keys).where("left_prompt < right_prompt").drop("generation", "answer")
 
 
 @query("""WITH c AS (SELECT page_id % 300 AS input, 0 AS rank, page_id AS id FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id % 300, 1, page_id FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id % 300, 2, page_id FROM pages WHERE page_id % 4 > 1),
@@ -130,11 +132,18 @@ def join_full_outer(spark, d):
     return a.join(b, "k", "full").where(~F.col("before").eqNullSafe(F.col("later")))
 
 
-@query("SELECT * FROM (VALUES ('answer', 'answer'), ('explnation', 'explanation'), ('quotess', 'quotes')) t(found, expected)")
+@query("""WITH e AS (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['answer', 'quotes', 'k' || event_id] WHEN 1 THEN ['anwer', 'answer', 'quote'] WHEN 2 THEN ['explnation', 'answers', 'other', 'k' || event_id || 'x'] ELSE ['quotess', 'quote', 'answer'] END) AS found FROM events),
+x AS (SELECT event_id, unnest(['answer', 'explanation', 'quotes', 'k' || event_id]) AS expected FROM events)
+SELECT event_id, found, expected FROM (SELECT event_id, found, expected, levenshtein(found, expected) AS far FROM e JOIN x USING (event_id) WHERE levenshtein(found, expected) <= 1)
+QUALIFY row_number() OVER (PARTITION BY event_id, expected ORDER BY far, CASE found WHEN 'quotess' THEN 0 ELSE 1 END) = 1""")
 def join_fuzzy_keys(spark, d):
-    """Keys one edit apart, exact ones first, each expected key once."""
-    got = T.remap_keys(["explnation", "answer", "answers", "quotess", "other"], ["answer", "explanation", "quotes"])
-    return spark.createDataFrame(list(got.items()), "found string, expected string")
+    """Keys of each record one edit apart, exact ones first, each expected key once."""
+    i = F.col("event_id")
+    own = F.concat(F.lit("k"), i.cast("string"))
+    keys = lambda *names: F.array(*[n if isinstance(n, F.Column) else F.lit(n) for n in names])
+    found = F.when(i % 4 == 0, keys("answer", "quotes", own)).when(i % 4 == 1, keys("anwer", "answer", "quote")).when(i % 4 == 2, keys("explnation", "answers", "other", F.concat(own, F.lit("x")))).otherwise(keys("quotess", "quote", "answer"))
+    pairs = T.remapped(found, keys("answer", "explanation", "quotes", own))
+    return D.table(spark, d, "events").select("event_id", F.inline(pairs))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT unnest([1, 3, 5, 7]))")

@@ -8,6 +8,11 @@ from ..registry import query
 from . import domain as D
 
 
+def _sha(words):
+    """Digest of a list of words, as whole texts make long rows."""
+    return F.sha2(F.array_join(words, " "), 256)
+
+
 @query("SELECT doc_id, coalesce(nullif(source, 'src1'), 'none') AS route, CASE WHEN n_chars > 2000 THEN 'long' WHEN n_chars > 500 THEN 'mid' ELSE 'short' END AS size, greatest(n_chars, NULL, 700) AS hi, least(n_chars, NULL, 700) AS lo FROM documents")
 def scalar_conditional(spark, d):
     """COALESCE, NULLIF, CASE, GREATEST and LEAST (which skip nulls)."""
@@ -38,29 +43,37 @@ def scalar_strings(spark, d):
     )
 
 
-@query("""WITH a AS (SELECT doc_id, string_split(left(text, 60), ' ') AS w FROM documents)
-SELECT doc_id, len(w) AS n, list_contains(w, 'the') AS has_the, list_has_any(w, ['of', 'and']) AS any_of, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ' ') AS long_words, array_to_string(list_transform(w, lambda x: lower(x)), ' ') AS quiet, array_to_string(list_concat(w, ['end']), ' ') AS closed FROM a""")
+@query("""WITH a AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+SELECT doc_id, len(w) AS n, list_contains(w, 'the') AS has_the, list_has_any(w, ['of', 'and']) AS any_of, sha256(array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 2))), ' ')) AS long_words, sha256(array_to_string(list_transform(w, lambda x: lower(x)), ' ')) AS quiet, sha256(array_to_string(list_concat(w, ['end']), ' ')) AS closed FROM a""")
 def scalar_arrays(spark, d):
     """Array functions and lambdas."""
-    a = D.table(spark, d, "documents").select("doc_id", F.split(F.left("text", F.lit(60)), " ").alias("w"))
+    a = D.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
     return a.select(
         "doc_id", F.size("w").cast("long").alias("n"), F.array_contains("w", "the").alias("has_the"), F.arrays_overlap("w", F.array(F.lit("of"), F.lit("and"))).alias("any_of"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter("w", lambda x: F.length(x) > 2))), " ").alias("long_words"), F.array_join(F.transform("w", lambda x: F.lower(x)), " ").alias("quiet"), F.array_join(F.concat("w", F.array(F.lit("end"))), " ").alias("closed"),
+        _sha(F.array_sort(F.array_distinct(F.filter("w", lambda x: F.length(x) > 2)))).alias("long_words"), _sha(F.transform("w", lambda x: F.lower(x))).alias("quiet"), _sha(F.concat("w", F.array(F.lit("end")))).alias("closed"),
     )
 
 
-@query("SELECT doc_id, u.w AS word, u.i AS ordinality FROM documents, unnest(string_split(left(text, 40), ' ')) WITH ORDINALITY AS u(w, i)")
+@query("SELECT doc_id, u.w AS word, u.i AS ordinality FROM documents, unnest(string_split(text, ' ')) WITH ORDINALITY AS u(w, i)")
 def scalar_unnest_ordinality(spark, d):
     """UNNEST WITH ORDINALITY counts from 1, posexplode from 0."""
-    a = D.table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.left("text", F.lit(40)), " ")).alias("i", "word"))
+    a = D.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word"))
     return a.select("doc_id", "word", (F.col("i") + 1).cast("long").alias("ordinality"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_object('id', event_id, 'kind', event_type)::VARCHAR AS made, json_array_length('[1,2,' || (event_id % 7) || ']') ::BIGINT AS n FROM events")
+def _json_type(text):
+    """JSON_TYPE: the kind of the outermost value, by its variant schema."""
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "varchar").when(kind == "VOID", "null").otherwise(F.lower(kind))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_object('id', event_id, 'kind', event_type)::VARCHAR AS made, json_array_length('[1,2,' || (event_id % 7) || ']') ::BIGINT AS n, lower(json_type(CASE event_id % 5 WHEN 0 THEN '[1]' WHEN 1 THEN props WHEN 2 THEN '"x"' WHEN 3 THEN 'true' ELSE 'null' END::JSON)) AS kind FROM events""")
 def scalar_json(spark, d):
     """JSON: extraction, objects, array length."""
+    i = F.col("event_id") % 5
+    kinds = F.when(i == 0, "[1]").when(i == 1, F.col("props")).when(i == 2, '"x"').when(i == 3, "true").otherwise("null")
     made = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
-    return D.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), made.alias("made"), F.json_array_length(F.concat(F.lit("[1,2,"), (F.col("event_id") % 7).cast("string"), F.lit("]"))).cast("long").alias("n"))
+    return D.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), made.alias("made"), F.json_array_length(F.concat(F.lit("[1,2,"), (F.col("event_id") % 7).cast("string"), F.lit("]"))).cast("long").alias("n"), _json_type(kinds).alias("kind"))
 
 
 @query("SELECT event_id, j.key AS key, j.value::VARCHAR AS value FROM events, json_each(props) AS j")

@@ -83,11 +83,13 @@ def text_merge_patch(spark, d):
     return D.table(spark, d, "events").select("event_id", T.merge_patch_udf("props", patch).alias("merged"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^#{1,6} ') THEN 'article_heading_greedy' ELSE 'article_paragraph_greedy' END AS strategy, sha256(coalesce(text, '')) AS rejoined, true AS fits, true AS full FROM documents")
 def text_chunks(spark, d):
-    """Greedy chunks of at most 1500 characters (tests hold it against its own rules)."""
-    x = D.table(spark, d, "documents").select("doc_id", T.chunks_udf(1500)("text").alias("c"))
-    return x.select("doc_id", F.col("c.strategy").alias("strategy"), F.posexplode("c.chunks").alias("position", "chunk")).select("doc_id", "strategy", F.col("position").cast("long").alias("position"), F.length("chunk").cast("long").alias("size"), F.sha2("chunk", 256).alias("digest"))
+    """Greedy chunks of at most 1500 characters: joined they are the text, and no two neighbours fit into one."""
+    x = D.table(spark, d, "documents").select("doc_id", T.chunks_udf(1500)("text").alias("c")).select("doc_id", "c.*")
+    sizes = F.transform("chunks", lambda t: F.length(t))
+    pairs = F.zip_with(F.slice(sizes, 1, F.greatest(F.lit(0), F.size(sizes) - 1)), F.slice(sizes, 2, F.size(sizes)), lambda a, b: a + b)
+    return x.select("doc_id", "strategy", F.sha2(F.array_join("chunks", ""), 256).alias("rejoined"), F.forall(sizes, lambda n: n <= 1500).alias("fits"), F.forall(pairs, lambda n: n > 1500).alias("full"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, ceil(length(text) / 4.0) <= 500 AS fits FROM documents")
@@ -107,12 +109,13 @@ def text_tolerant_json(spark, d):
     return x.select("event_id", F.col("p.how").alias("how"), F.get_json_object("p.json", "$.answer").cast("long").alias("answer"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(left(text, 20))) > 0 THEN 1 ELSE 0 END::BIGINT AS valid FROM documents WHERE doc_id % 3 = 0")
+@query("WITH q AS (SELECT doc_id, [substr(t, length(t) // 2 + 1, 20), right(t, 20)] AS q FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))\nSELECT doc_id, len(list_distinct(list_filter(q, lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')))::BIGINT AS valid FROM q")
 def text_quotes(spark, d):
     """Quotes that occur in the text, white space and case aside."""
-    x = D.table(spark, d, "documents").where("doc_id % 3 = 0")
-    spaced = F.replace(F.left("text", F.lit(20)), F.lit(" "), F.lit("\n  "))
-    return x.select("doc_id", F.size(T.valid_quotes(F.col("text"), F.array(spaced, F.lit("certainly not in there"), spaced))).cast("long").alias("valid"))
+    x = D.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    spaced = lambda c: F.replace(c, F.lit(" "), F.lit("\n  "))
+    middle, end = F.substring("t", F.floor(F.length("t") / 2).cast("int") + 1, F.lit(20)), F.right("t", F.lit(20))
+    return x.select("doc_id", F.size(T.valid_quotes(F.col("t"), F.array(spaced(middle), F.lit("certainly not in there"), spaced(end)))).cast("long").alias("valid"))
 
 
 @query("SELECT page_id, regexp_replace('a ![x](data:image/png;base64,AA' || page_id || ') b ![y](http://z/' || page_id || '.png)', '!\\[[^\\]]*\\]\\(data:image/[^)]*\\)', '', 'g') AS text FROM pages")

@@ -14,29 +14,32 @@ from . import domain as D
 _LEDGER = D.with_(D.LEDGER)
 
 
-def _postings(spark, d):
+def _postings(spark, d, only: dict[str, list[str]] | None = None):
+    """Posting lists of three facets; of the values that are asked for, where they are known."""
     a = D.article(spark, d)
-    return S.build_postings(a, "route", "route").unionByName(S.build_postings(a, "year", "year")).unionByName(S.build_postings(a, "lang", "lang"))
+    route, year, lang = (S.build_postings(a, k, k, only=(only or {}).get(k)) for k in ("route", "year", "lang"))
+    return route.unionByName(year).unionByName(lang)
 
 
-@query(D.with_(D.ARTICLE) + """SELECT k AS filter_kind, v AS filter_value, len(ids) AS n, sha256(array_to_string(ids, ',')) AS digest FROM (SELECT 'route' AS k, route AS v, list_sort(list(DISTINCT article_id)) AS ids FROM article GROUP BY 2 UNION ALL SELECT 'year', year::VARCHAR, list_sort(list(DISTINCT article_id)) FROM article GROUP BY 2 UNION ALL SELECT 'lang', lang, list_sort(list(DISTINCT article_id)) FROM article GROUP BY 2)""")
+@query(D.with_(D.ARTICLE) + """SELECT k AS filter_kind, v AS filter_value, chunk, len(ids) AS n, sha256(array_to_string(ids, ',')) AS digest FROM (SELECT k, v, article_id // 4096 AS chunk, list_sort(list(DISTINCT article_id)) AS ids FROM (SELECT 'route' AS k, route AS v, article_id FROM article UNION ALL SELECT 'year', year::VARCHAR, article_id FROM article UNION ALL SELECT 'lang', lang, article_id FROM article) WHERE v IS NOT NULL GROUP BY 1, 2, 3)""")
 def serve_postings(spark, d):
-    """Posting lists by facet value."""
-    return _postings(spark, d).select("filter_kind", "filter_value", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
+    """Posting lists by facet value and id range."""
+    return _postings(spark, d).select("filter_kind", "filter_value", "chunk", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
 
 
 @query(D.with_(D.ARTICLE) + "SELECT article_id FROM article WHERE route IN ('src1', 'src2', 'src5') AND year IN (1995, 2001, 2002, 2010) AND lang IN ('en')")
 def serve_posting_intersection(spark, d):
     """union in a group, intersection over groups."""
-    return S.intersect_postings(_postings(spark, d), [("route", ["src1", "src2", "src5"]), ("year", ["1995", "2001", "2002", "2010"]), ("lang", ["en"])])
+    wanted = {"route": ["src1", "src2", "src5"], "year": ["1995", "2001", "2002", "2010"], "lang": ["en"]}
+    return S.intersect_postings(_postings(spark, d, wanted), list(wanted.items()))
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(strip_accents(left(text, 80))), '[^a-z0-9]+')) AS token FROM documents)
-SELECT token, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM t WHERE token <> '' AND doc_id % 4 = 0 GROUP BY 1""")
+@query("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+')) AS token FROM documents)
+SELECT token, doc_id // 4096 AS chunk, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM t WHERE token <> '' GROUP BY 1, 2""")
 def serve_token_postings(spark, d):
-    """Title-token postings (ids sorted as numbers), of curated quarters."""
-    t = D.article(spark, d).where("article_id % 4 = 0").select("article_id", F.explode(T.title_tokens(F.col("title"))).alias("token"))
-    return t.groupBy("token").agg(F.array_join(F.array_sort(F.collect_set("article_id")), ",").alias("ids"))
+    """Title-token postings (ids sorted as numbers) of all articles, by id range."""
+    t = D.article(spark, d).select("article_id", F.explode(T.title_tokens(F.col("title"))).alias("token"))
+    return S.build_postings(t, "token", "token").select(F.col("filter_value").alias("token"), "chunk", F.array_join("ids", ",").alias("ids"))
 
 
 @query(_LEDGER + "SELECT idempotency_key, min(event_id) AS event_id FROM ledger WHERE event_id >= 1000 AND idempotency_key NOT IN (SELECT idempotency_key FROM ledger WHERE event_id < 1000) GROUP BY 1")
@@ -110,8 +113,8 @@ def serve_lazy_postings(spark, d):
     cached = S.build_postings(a.where("year = '1999'"), "year", "year")
     wanted = spark.createDataFrame([("1999",), ("2005",)], "filter_value string")
     missing = wanted.join(cached, "filter_value", "left_anti")
-    fresh = S.build_postings(a.join(F.broadcast(missing), a.year == missing.filter_value, "left_semi"), "year", "year")
-    return cached.unionByName(fresh).select("filter_kind", "filter_value", F.size("ids").cast("long").alias("n"))
+    fresh = S.build_postings(a.join(F.broadcast(missing), a.year == missing.filter_value, "left_semi"), "year", "year")  # no more rows than a request names values
+    return cached.unionByName(fresh).groupBy("filter_kind", "filter_value").agg(F.sum(F.size("ids")).cast("long").alias("n"))
 
 
 @query(D.with_(D.ARTICLE) + """, p AS (SELECT 'route' AS k, route AS v, article_id FROM article WHERE article_id % 7 <> 0), c AS (SELECT 'route' AS k, route AS v, article_id, article_id % 2 = 0 AS add FROM article WHERE article_id % 7 IN (0, 1))
@@ -120,7 +123,7 @@ def serve_posting_changes(spark, d):
     """U04 applied to stored lists: ids join and leave."""
     a = D.article(spark, d)
     changes = a.where("article_id % 7 in (0, 1)").select(F.lit("route").alias("filter_kind"), F.col("route").alias("filter_value"), "article_id", (F.col("article_id") % 2 == 0).alias("add"))
-    return S.apply_posting_changes(S.build_postings(a.where("article_id % 7 <> 0"), "route", "route"), changes).select("filter_kind", "filter_value", F.size("ids").cast("long").alias("n"))
+    return S.apply_posting_changes(S.build_postings(a.where("article_id % 7 <> 0"), "route", "route"), changes).groupBy("filter_kind", "filter_value").agg(F.sum(F.size("ids")).cast("long").alias("n"))
 
 
 @query(D.with_(D.ARTICLE, D.JUDGMENT) + "SELECT a.article_id FROM article a WHERE route IN ('src1', 'src3') AND contains(lower(title), 'th') AND EXISTS (SELECT 1 FROM judgment j WHERE j.article_id = a.article_id AND prompt_id = 1 AND answer IN ('Yes', 'maybe'))")
@@ -139,12 +142,23 @@ def serve_validation_gates(spark, d):
     return one("null_status", a.where("has_human is null")).unionByName(one("unknown_article", j.join(a, "article_id", "left_anti"))).unionByName(one("repeated_key", j.groupBy("article_id", "model_id", "prompt_id", "generation").count().where("count > 1")))
 
 
-@query("SELECT * FROM (VALUES ('articles.list', 'accept'), ('articles.search', 'substring search is a job'), ('articles.huge', 'page too large'), ('articles.stale', 'not ready'), ('nothing', 'unknown contract')) t(request, decision)")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'articles.list' WHEN 1 THEN 'articles.export' WHEN 2 THEN 'queue.unassessed' ELSE 'nothing' END AS contract, event_id * 37 % 1300 - 20 AS row_limit,
+  CASE event_id % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'year' WHEN 2 THEN 'prompt_id' ELSE 'colour' END AS filter, CASE WHEN event_id % 7 = 3 THEN 'stale' ELSE 'ready' END AS freshness, CASE event_id % 11 WHEN 4 THEN 'substring' WHEN 5 THEN 'prefix' ELSE 'none' END AS search_mode FROM events)
+SELECT event_id, contract, CASE WHEN contract = 'nothing' THEN 'unknown contract' WHEN filter = 'colour' OR (filter = 'prompt_id') <> (contract = 'queue.unassessed') THEN 'unknown filter' WHEN row_limit > CASE contract WHEN 'articles.export' THEN 100000 ELSE 500 END THEN 'page too large' WHEN row_limit <= 0 THEN 'empty page'
+  WHEN freshness = 'stale' AND contract <> 'articles.export' THEN 'not ready' WHEN search_mode = 'substring' THEN 'substring search is a job' ELSE 'accept' END AS decision FROM r""")
 def serve_admission(spark, d):
-    """Declared reads and whether they are admitted."""
-    ask = {"articles.list": {}, "articles.search": {"search_mode": "substring"}, "articles.huge": {"limit": 10_000}, "articles.stale": {"freshness": "indexing"}, "nothing": {}}
-    rows = [(k, contracts.admit("articles.list" if k.startswith("articles") else k, **v)) for k, v in ask.items()]
-    return spark.createDataFrame(rows, "request string, decision string")
+    """Requests and whether their contracts admit them."""
+    i = F.col("event_id")
+
+    def pick(n: int, values: dict[int, str], other: str):
+        names = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+        return F.coalesce(F.element_at(names, (i % n).cast("int")), F.lit(other))
+
+    requests = D.table(spark, d, "events").select(
+        "event_id", pick(4, {0: "articles.list", 1: "articles.export", 2: "queue.unassessed"}, "nothing").alias("contract"), (i * 37 % 1300 - 20).alias("row_limit"),
+        F.array(pick(5, {0: "route", 1: "year", 2: "prompt_id"}, "colour")).alias("filters"), pick(7, {3: "stale"}, "ready").alias("freshness"), pick(11, {4: "substring", 5: "prefix"}, "none").alias("search_mode"),
+    )
+    return contracts.admitted(requests).select("event_id", "contract", "decision")
 
 
 @query(D.with_(D.ARTICLE) + "SELECT article_id, title, created_s FROM article WHERE route IN ('src2') AND has_llm ORDER BY created_s DESC, article_id DESC LIMIT 26")

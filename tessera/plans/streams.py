@@ -12,7 +12,8 @@ from ..streaming import ledger as L
 from . import domain as D
 
 
-def _folder(spark) -> str:
+def folder(spark) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, else (local sessions) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-streams"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -27,7 +28,7 @@ def _drop(spark, d, folder: str, files: int = 4):
 @query(D.with_(D.LEDGER) + ", first AS (SELECT idempotency_key, min(event_id) AS event_id FROM ledger GROUP BY 1)\nSELECT article_id, event_id, change_kind FROM (SELECT l.* FROM ledger l JOIN first USING (idempotency_key, event_id) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY event_id DESC) = 1) WHERE NOT tombstone")
 def stream_latest(spark, d):
     """Each key once, the latest change of an article wins, generations are swapped per batch."""
-    home = _folder(spark)
+    home = folder(spark)
     _drop(spark, d, f"{home}/in")
     table = L.LatestTable(spark, f"{home}/table")
     table.start(L.ledger_stream(spark, f"{home}/in", 2), f"{home}/check").awaitTermination()
@@ -37,7 +38,7 @@ def stream_latest(spark, d):
 @query(D.with_(D.LEDGER) + "SELECT partition_id, article_id, min(event_id) AS first_mark, max(event_id) AS latest_mark, count(*) AS changes FROM ledger GROUP BY 1, 2")
 def stream_coalesce(spark, d):
     """Pending work per scope as a streaming aggregation, its last state kept by foreachBatch."""
-    home = _folder(spark)
+    home = folder(spark)
     _drop(spark, d, f"{home}/in")
     s = spark.readStream.schema(L.LEDGER_SCHEMA).parquet(f"{home}/in")
 
@@ -52,7 +53,7 @@ def stream_coalesce(spark, d):
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS h, user_id FROM events) SELECT epoch(h)::BIGINT AS bucket_s, sum(user_id)::BIGINT AS user_id, count(*) AS n FROM h WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY h")
 def stream_tumbling(spark, d):
     """Windows in append mode: those that the watermark has passed."""
-    home = _folder(spark)
+    home = folder(spark)
     e = D.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "user_id")
     e.repartitionByRange(4, "at").write.parquet(f"{home}/in")
     s = spark.readStream.schema(e.schema).parquet(f"{home}/in")
@@ -64,7 +65,7 @@ def stream_tumbling(spark, d):
 @query("SELECT user_id % 5 AS job_id, floor(epoch(ts) / 600)::BIGINT * 600 AS slot_s, 1::BIGINT AS kept FROM events GROUP BY 1, 2")
 def stream_cadence_slots(spark, d):
     """One sample per job and slot, by streaming deduplication."""
-    home = _folder(spark)
+    home = folder(spark)
     e = D.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 5).alias("job_id"))
     e.repartitionByRange(4, "at").write.parquet(f"{home}/in")
     s = spark.readStream.schema(e.schema).parquet(f"{home}/in")

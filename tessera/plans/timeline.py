@@ -64,10 +64,12 @@ def time_cadence_slots(spark, d):
     return S.dedupe_slots(s, ["job_id"], 600).select("job_id", F.col("slot").cast("long").alias("slot"), "event_id")
 
 
-@query("SELECT * FROM (VALUES ('5m', 1704066870::BIGINT, 1704067170::BIGINT, 30::BIGINT), ('24h', 1703979900, 1704066300, 900), ('3d', 1703804400, 1704063600, 3600)) t(preset, start_s, end_s, width)")
+@query(D.with_(D.TOKEN_USE) + """, p(preset, length, width) AS (VALUES ('5m', 300, 30), ('15m', 900, 30), ('1h', 3600, 60), ('24h', 86400, 900), ('3d', 259200, 3600))
+SELECT event_id, preset, created_s // width * width - length AS start_s, created_s // width * width AS end_s, width::BIGINT AS width FROM token_use, p""")
 def time_aligned_presets(spark, d):
-    """Ranges of the presets, ends floored to their bucket."""
-    return spark.createDataFrame([(p, *S.aligned_range(p, 1_704_067_199)) for p in ("5m", "24h", "3d")], "preset string, start_s long, end_s long, width long")
+    """Ranges of all presets as seen from each event, ends floored to their bucket."""
+    ranges = F.array(*[F.struct(F.lit(p).alias("preset"), *S.aligned_columns(p, F.col("created_s"))) for p in S.PRESETS])
+    return D.token_use(spark, d).select("event_id", F.inline(ranges))
 
 
 @query(D.with_(D.TOKEN_USE) + """, x AS (SELECT created_s // 3600 * 3600 AS bucket_s, created_s, CASE WHEN event_id % 3 = 0 THEN (event_id % 101)::DOUBLE ELSE (event_id % 40) * 100.0 / nullif(event_id % 50, 0) END AS fill, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'behind' WHEN 2 THEN 'ahead' ELSE NULL END AS state, CASE WHEN event_id % 5 > 0 THEN event_type END AS bn FROM token_use),

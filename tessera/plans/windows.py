@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.compare import latest
+from ..operators.rows import indexed, ntile
 from ..registry import query
 from . import domain as D
 
@@ -32,15 +33,15 @@ def window_partition_totals(spark, d):
 
 @query("SELECT o_orderstatus, o_orderkey, ntile(7) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)::BIGINT AS chunk FROM orders")
 def window_ntile(spark, d):
-    """Balanced chunks of keys."""
-    return D.table(spark, d, "orders").select("o_orderstatus", "o_orderkey", F.ntile(7).over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")).cast("long").alias("chunk"))
+    """Balanced chunks of keys, numbered range by range and not a status in one task."""
+    return ntile(D.table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), 7, ["o_orderkey"], "chunk", by=["o_orderstatus"])
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS s, ntile(7) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS chunk, o_orderkey AS k FROM orders), r AS (SELECT s, chunk, min(k) AS lo, max(k) AS hi FROM c GROUP BY 1, 2)
 SELECT s AS status, chunk::BIGINT AS chunk, coalesce(lag(hi) OVER w + 1, lo) AS first_key, CASE WHEN lead(lo) OVER w IS NULL THEN hi + 1 ELSE hi END AS last_key FROM r WINDOW w AS (PARTITION BY s ORDER BY chunk)""")
 def window_close_gaps(spark, d):
     """LAG and LEAD close the gaps between neighbouring key ranges."""
-    c = D.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("k"), F.ntile(7).over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")).cast("long").alias("chunk"))
+    c = ntile(D.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("k")), 7, ["k"], "chunk", by=["status"])
     r = c.groupBy("status", "chunk").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     w = Window.partitionBy("status").orderBy("chunk")
     return r.select("status", "chunk", F.coalesce(F.lag("hi").over(w) + 1, F.col("lo")).alias("first_key"), F.when(F.lead("lo").over(w).isNull(), F.col("hi") + 1).otherwise(F.col("hi")).alias("last_key"))
@@ -60,12 +61,10 @@ def window_keep_newest(spark, d):
     return D.table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k <= 3").select("event_type", "event_id")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents WHERE doc_id % 50 = 0")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents")
 def window_row_index(spark, d):
     """A row index needs a key to go by in a distributed scan; ranges are numbered one by one."""
-    from ..operators.rows import indexed
-
-    return indexed(D.table(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id"), ["doc_id"])
+    return indexed(D.table(spark, d, "documents").select("doc_id"), ["doc_id"])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -136,28 +136,49 @@ def article_of(item) -> dict[str, str | None]:
 
 
 def structured_articles(spark: SparkSession, path: str, pointer: str) -> DataFrame:
-    """Articles of the array at ``pointer`` in uploaded files, one task a file."""
-    from pyspark.sql.functions import udf
+    """Articles of the array at ``pointer`` in uploaded files; a task reads its files one after the other."""
 
-    @udf("array<struct<title:string,summary:string,authors:string,article_id:string,created_at:string>>")
-    def items(text: str, name: str):
-        found = pointer_get(parse_structured(text, name), pointer)
-        return [article_of(x) for x in (found if isinstance(found, list) else [found])]
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, name in zip(b["value"], b["file"], strict=True):
+                found = pointer_get(parse_structured(text, name), pointer)
+                rows = [article_of(x) for x in (found if isinstance(found, list) else [found])]
+                yield pd.DataFrame({"file": name, "row_index": range(len(rows)), **{k: [r[k] for r in rows] for k in ARTICLE_KEYS}})
 
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return files.select("file", F.posexplode(items("value", "file")).alias("row_index", "a")).select("file", "row_index", "a.*")
+    fields = ", ".join(f"{k} string" for k in ARTICLE_KEYS)
+    return _whole_files(spark, path).mapInPandas(read, f"file string, row_index int, {fields}")
 
 
-def boundary_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pointer, display_path, items, keys) of all arrays that uploads could be read from."""
-    from pyspark.sql.functions import udf
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+class Boundaries:
+    """Table function: the arrays that an upload's text could be read from, each pointer once."""
+
+    def eval(self, text: str, name: str):
+        for p, d, n, keys in {p: (p, d, n, k) for p, d, n, k in boundaries(parse_structured(text, name))}.values():
+            yield p, d, n, keys
 
-    @udf("array<struct<pointer:string,display_path:string,items:int,keys:array<string>>>")
-    def find(text: str, name: str):
-        return list({p: (p, d, n, k) for p, d, n, k in boundaries(parse_structured(text, name))}.values())
 
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return files.select("file", F.explode(find("value", "file")).alias("c")).select("file", "c.*")
+def register_functions(spark: SparkSession) -> None:
+    """The engine's functions under SQL names: the table function ``tessera_boundaries``, the SQL function
+    ``tessera_tokens`` and the aggregate ``tessera_span``."""
+    spark.udtf.register("tessera_boundaries", F.udtf(Boundaries, returnType="pointer string, display_path string, items int, keys array<string>"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_tokens(t STRING) RETURNS BIGINT RETURN CAST(CEIL(LENGTH(t) / 4.0D) AS BIGINT)")
+
+    @F.pandas_udf("long")
+    def span(values: pd.Series) -> int:
+        own = values.dropna()
+        return int(own.max() - own.min()) if len(own) else 0
+
+    spark.udf.register("tessera_span", span)
+
+
+def boundary_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pointer, display_path, items, keys) of all arrays that uploads could be read from."""
+    register_functions(spark)
+    return spark.sql("SELECT file, c.* FROM {files}, LATERAL tessera_boundaries(value, file) AS c", files=_whole_files(spark, path))
 
 
 def health_records(spark: SparkSession, path: str) -> DataFrame:
@@ -189,16 +210,12 @@ def patient_timelines(records: DataFrame) -> DataFrame:
     return doc.select("patient_id", F.concat(F.lit("# Patient "), "patient_id", F.lit("\n\n"), "sections").alias("markdown"))
 
 
-def external_table(spark: SparkSession, path: str) -> DataFrame:
-    """Another database's table: its Parquet directory, read in place."""
-    return spark.read.parquet(path)
-
-
 class PagedSource(DataSource):
     """Cursor-paged harvests: ``spark.read.format("paged").load(folder)`` or ``readStream``.
 
     A page is a JSON file {"items": [...], "next": cursor or null}; ``page-<cursor>.json`` stands in
-    for the request (the first is ``page-start.json``). Reading ends at a null or repeated cursor."""
+    for the request. Reading ends at a null or repeated cursor. The option ``starts`` names first cursors, each read
+    by a task of its own (``start`` alone if not given); a stream follows the first of them."""
 
     @classmethod
     def name(cls) -> str:
@@ -208,30 +225,38 @@ class PagedSource(DataSource):
         return "cursor string, item string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options["path"])
+        return _PagedReader(self.options["path"], self.options.get("starts", "start").split(","))
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _PagedStream(self.options["path"])
+        return _PagedStream(self.options["path"], self.options.get("starts", "start").split(",")[0])
+
+
+def open_folder(path: str):
+    """(file system, folder) of a path or URI that Arrow knows (local, HDFS, S3, GCS)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def fetch_page(folder: str, cursor: str) -> tuple[list[str], str | None]:
-    path = os.path.join(folder.removeprefix("file://"), f"page-{cursor}.json")
-    if not os.path.exists(path):
+    store, root = open_folder(folder)
+    try:
+        with store.open_input_stream(f"{root.rstrip('/')}/page-{cursor}.json") as f:
+            page = json.loads(f.read())
+    except FileNotFoundError:
         return [], None
-    with open(path, encoding="utf-8") as f:
-        page = json.load(f)
     return [json.dumps(x) for x in page["items"]], page.get("next")
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, starts: list[str]):
+        self.folder, self.starts = folder, starts
 
     def partitions(self):
-        return [InputPartition("start")]
+        return [InputPartition(s) for s in self.starts]
 
     def read(self, partition) -> Iterator[tuple]:
-        cursor, seen = "start", set()
+        cursor, seen = partition.value, set()
         while cursor is not None and cursor not in seen:
             seen.add(cursor)
             items, following = fetch_page(self.folder, cursor)
@@ -241,31 +266,72 @@ class _PagedReader(DataSourceReader):
 
 
 class _PagedStream(SimpleDataSourceStreamReader):
-    """One page a trigger; the offset is the cursor of the page to fetch next."""
+    """One page a trigger; the offset is the cursor of the page to fetch next, and where to notice a loop: the cursor
+    is held against one mark, which moves up after 1, 2, 4, ... pages, so the offset stays small however long the harvest
+    is; a loop is read twice over at most."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, start: str):
+        self.folder, self.start = folder, start
 
     def initialOffset(self) -> dict:
-        return {"cursor": "start", "seen": []}
+        return {"cursor": self.start, "mark": None, "left": 1, "length": 1}
 
     def read(self, start: dict):
         cursor = start["cursor"]
-        if cursor is None or cursor in start["seen"]:
+        if cursor is None:
             return iter(()), start
         items, following = fetch_page(self.folder, cursor)
         if not items and following is None:
             return iter(()), start
-        return iter([(cursor, x) for x in items]), {"cursor": following, "seen": [*start["seen"], cursor]}
+        mark, left, length = start["mark"], start["left"] - 1, start["length"]
+        if following in (cursor, mark):
+            following = None
+        if left == 0:
+            mark, left, length = cursor, 2 * length, 2 * length
+        return iter([(cursor, x) for x in items]), {"cursor": following, "mark": mark, "left": left, "length": length}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        cursor, out = start["cursor"], []
-        while cursor is not None and cursor not in start["seen"] and cursor != end["cursor"]:
-            items, following = fetch_page(self.folder, cursor)
-            out += [(cursor, x) for x in items]
-            cursor = following
+        out = []
+        while start["cursor"] is not None and start != end:
+            rows, after = self.read(start)
+            if after == start:
+                break
+            out += list(rows)
+            start = after
         return iter(out)
 
 
-def decode_note(data: str) -> str:
-    return base64.b64decode(data).decode("utf-8", "replace")
+class SqliteSource(DataSource):
+    """A table of an SQLite file, such as a job's outbox, that all workers reach at one path:
+    ``spark.read.format("sqlite").option("table", ...).schema(...).load(path)``, in ``partitions`` ranges of row ids."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite"
+
+    def schema(self) -> str:
+        raise ValueError("a schema must be given")
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SqliteReader(self.options["path"].removeprefix("file://"), self.options["table"], schema.names, int(self.options.get("partitions", "4")))
+
+
+class _SqliteReader(DataSourceReader):
+    def __init__(self, path: str, table: str, names: list[str], partitions: int):
+        quoted = lambda n: '"' + n.replace('"', '""') + '"'
+        self.path, self.table, self.columns, self.n = path, quoted(table), ", ".join(map(quoted, names)), partitions
+
+    def _rows(self, sql: str, *values) -> Iterator[tuple]:
+        import sqlite3
+        from contextlib import closing
+
+        with closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as con:
+            yield from con.execute(sql, values)
+
+    def partitions(self):
+        low, high = next(self._rows(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {self.table}"))
+        width = -(-(high - low + 1) // self.n) or 1
+        return [InputPartition((at, min(high, at + width - 1))) for at in range(low, max(low, high) + 1, width)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        return self._rows(f"SELECT {self.columns} FROM {self.table} WHERE rowid BETWEEN ? AND ?", *partition.value)

@@ -100,5 +100,22 @@ def insert_once(target: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame
     return rows.join(target.select(key), key, "left_anti"), rows.join(stored, key).where(differ).select(*rows.columns)
 
 
-def read_payloads(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.json(f"{folder}/{name}.ndjson")
+def export_folder(tables: dict[str, DataFrame], path: str) -> None:
+    """A package of any size: a folder of NDJSON part files for each table, written where the rows lie, and
+    ``manifest`` with their fingerprints."""
+    for name, df in tables.items():
+        df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line")).write.text(f"{path}/{name}")
+    prints = [fingerprint(df).select(F.lit(name).alias("name"), "rows", "digest") for name, df in sorted(tables.items())]
+    manifest = prints[0]
+    for one in prints[1:]:
+        manifest = manifest.unionByName(one)
+    manifest.coalesce(1).write.json(f"{path}/manifest")
+
+
+def read_payload(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
+    """A table of a package, or ValueError if its rows don't agree with the manifest."""
+    df = spark.read.schema(schema).json(f"{path}/{name}")
+    said = spark.read.schema("name string, rows long, digest string").json(f"{path}/manifest").where(F.col("name") == name)
+    if said.join(fingerprint(df), ["rows", "digest"]).isEmpty():
+        raise ValueError(f"payload {name} doesn't agree with the manifest")
+    return df

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import serving as S
-from ..operators import timeline as TL
 
 LEDGER_SCHEMA = "event_id long, partition_id long, article_id long, change_kind string, idempotency_key string, tombstone boolean, at timestamp"
 
@@ -41,20 +40,26 @@ def tumbling(rows: DataFrame, width: str, measures: list[str], time_col: str = "
 
 
 class LatestTable:
-    """A generation-swapped table of each article's latest delta, fed batch by batch."""
+    """A generation-swapped table of each article's latest delta, fed batch by batch. It is cut into buckets by
+    article; a batch rewrites the buckets that it touches and leaves the others where they are."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, S.Generations(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.store, self.buckets = spark, S.Generations(spark, root), buckets
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Merge by highest mark; tombstones stay as rows so that a late older delta can't revive one."""
         active = self.store.active()
-        rows = batch.select("event_id", "article_id", "change_kind", "tombstone")
-        if active is not None:
-            rows = rows.unionByName(self.store.read())
-        merged = rows.groupBy("article_id").agg(F.max_by(F.struct("event_id", "change_kind", "tombstone"), "event_id").alias("r")).select("r.event_id", "article_id", "r.change_kind", "r.tombstone")
-        n = self.store.stage(merged)
-        self.store.promote(n, active)
+        rows = batch.select("event_id", "article_id", "change_kind", "tombstone", F.pmod(F.xxhash64("article_id"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        touched = [str(r.bucket) for r in rows.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        if not touched:
+            return
+        if any(part in touched for part in self.store.parts(active)):
+            stored = self.store.read(touched)
+            rows = rows.unionByName(stored.withColumn("bucket", F.pmod(F.xxhash64("article_id"), F.lit(self.buckets)).cast("int")).select(*rows.columns))
+        merged = rows.groupBy("bucket", "article_id").agg(F.max_by(F.struct("event_id", "change_kind", "tombstone"), "event_id").alias("r")).select("r.event_id", "article_id", "r.change_kind", "r.tombstone", "bucket")
+        n = self.store.stage(merged, by="bucket")
+        if not self.store.promote(n, active):
+            raise RuntimeError("another writer has promoted a generation; the batch will be replayed")
         self.store.retain(1)
 
     def start(self, deltas: DataFrame, checkpoint: str):
@@ -62,14 +67,3 @@ class LatestTable:
 
     def current(self) -> DataFrame:
         return self.store.read().where("not tombstone")
-
-
-def running_counts(deltas: DataFrame) -> DataFrame:
-    """Contribution counts per partition and kind, kept up to date (update mode)."""
-    sign = F.when(F.col("tombstone"), -1).otherwise(1)
-    return deltas.groupBy("partition_id", "change_kind").agg(F.sum(sign).alias("net"), F.count(F.lit(1)).alias("n"))
-
-
-def gap_totals(spark: SparkSession, totals: DataFrame, interval: str, start: int, stop: int) -> DataFrame:
-    """A complete series over finished buckets."""
-    return TL.bucket_series(spark, interval, start, stop).join(totals, "bucket_s", "left").fillna(0)

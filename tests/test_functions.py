@@ -144,3 +144,32 @@ def test_contribution_diff_is_a_recompute(spark):
     old = spark.createDataFrame([("a", 2), ("b", 3)], "k string, v long")
     new = spark.createDataFrame([("a", 2), ("c", 1)], "k string, v long")
     assert {tuple(r) for r in G.contribution_diff(old, new, ["k"], "v").collect()} == {("b", -3), ("c", 1)}
+
+
+def test_columns_agree_with_functions(spark):
+    """Column forms of the plain functions, on odd values."""
+    types = ["'a' | 'b'", "number[]", None, "", "number | null", "null", "string", "'x'[]", " INTEGER "]
+    df = spark.createDataFrame([(t,) for t in types], "t string")
+    for r in df.select("t", A.strategy_of(F.col("t")).alias("s"), A.options_of(F.col("t")).alias("o")).collect():
+        assert (r.s, r.o) == (A.filter_strategy(r.t), A.enum_values(r.t or ""))
+    cases = [(["explnation", "answer", "answers", "quotess", "other"], ["answer", "explanation", "quotes"]), ([], ["a"]), (["ab", "b"], ["a", "b"]), (["x", "xa"], ["x", "xb"])]
+    df = spark.createDataFrame(cases, "f array<string>, e array<string>")
+    for r in df.select("f", "e", T.remapped(F.col("f"), F.col("e")).alias("p")).collect():
+        assert {x.found: x.expected for x in r.p} == T.remap_keys(r.f, r.e)
+
+
+def test_ntile_over_ranges(spark):
+    from pyspark.sql.window import Window
+
+    from tessera.operators.rows import ntile
+
+    df = spark.createDataFrame([(g, k * 3 % 101) for g, n in (("a", 50), ("b", 3), ("c", 101)) for k in range(n)], "g string, k long")
+    want = df.withColumn("c", F.ntile(7).over(Window.partitionBy("g").orderBy("k")).cast("long"))
+    assert ntile(df, 7, ["k"], "c", ["g"], buckets=5).exceptAll(want).isEmpty()
+
+
+def test_read_shapes(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert contracts.shape_problems(a.limit(10), {"orders"}) == []
+    assert contracts.shape_problems(a, {"nation"}) == ["unregistered relation orders", "more than 500 rows"]
+    assert "join without a key" in contracts.shape_problems(a.crossJoin(a.limit(3).select("o_custkey")), {"orders"})

@@ -73,6 +73,49 @@ def test_paged_source(spark, tmp_path):
     assert sorted(r["item"] for r in spark.read.format("paged").load(str(tmp_path)).collect()) == ["1", "2", "3", "4"]
 
 
+def test_paged_stream_ends_at_a_loop(spark, tmp_path):
+    """Every page comes, none more than a few times, and the offset stays small."""
+    for k in range(40):
+        (tmp_path / f"page-c{k}.json").write_text(json.dumps({"items": [k], "next": f"c{k + 1}" if k < 39 else "c5"}))
+    stream = files._PagedStream(str(tmp_path), "c0")
+    at, got = stream.initialOffset(), []
+    for _ in range(200):
+        rows, after = stream.read(at)
+        if after == at:
+            break
+        rows = [r[1] for r in rows]
+        assert [r[1] for r in stream.readBetweenOffsets(at, after)] == rows
+        got, at = got + rows, after
+    assert at["cursor"] is None and set(got) == {str(k) for k in range(40)} and len(got) < 150 and len(json.dumps(at)) < 80
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "a.db")
+    con.execute('CREATE TABLE "out box" (id INTEGER, v TEXT)')
+    con.executemany('INSERT INTO "out box" VALUES (?, ?)', [(i, None if i % 7 == 0 else f"v{i}") for i in range(50)])
+    con.execute('CREATE TABLE "none" (id INTEGER)')
+    con.commit()
+    con.close()
+    spark.dataSource.register(files.SqliteSource)
+    df = spark.read.format("sqlite").schema("id long, v string").option("table", "out box").load(str(tmp_path / "a.db"))
+    assert df.rdd.getNumPartitions() == 4 and {(r.id, r.v) for r in df.collect()} == {(i, None if i % 7 == 0 else f"v{i}") for i in range(50)}
+    assert spark.read.format("sqlite").schema("id long").option("table", "none").load(str(tmp_path / "a.db")).count() == 0
+
+
+def test_package_folder(spark, tmp_path):
+    df = spark.createDataFrame([(2, None), (1, "x")], "id long, v string")
+    sinks.export_folder({"rows": df}, str(tmp_path / "p"))
+    assert sorted(sinks.read_payload(spark, str(tmp_path / "p"), "rows", df.schema).collect()) == sorted(df.collect())
+    with open(next((tmp_path / "p/rows").glob("part-*")), "a") as f:
+        f.write('{"id":3}\n')
+    for crc in (tmp_path / "p/rows").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.read_payload(spark, str(tmp_path / "p"), "rows", df.schema)
+
+
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b', None), (2, "plain", "l\n2")], "id long, a string, b string").coalesce(1)
     text = b"".join(sinks.csv_stream(df)).decode("utf-8-sig")

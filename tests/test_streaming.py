@@ -63,9 +63,27 @@ def test_generations(spark, tmp_path):
         g.read()
     df = spark.range(3).withColumnRenamed("id", "x")
     n = g.stage(df)
-    assert g.promote(n, None) and g.active() == 1 and not g.promote(2, None)
+    assert g.states() == {1: "candidate"} and g.promote(n, None) and g.active() == 1 and not g.promote(2, None)
     m = g.stage(df.limit(1))
-    assert not g.promote(m, 1, checks=df) and g.read().count() == 3
-    assert g.promote(m, 1) and g.read().count() == 1
-    k = g.stage(df)
-    assert g.promote(k, 2) and g.retain(1) == [1] and g.active() == 3
+    assert not g.promote(m, 1, checks=df) and g.read().count() == 3 and g.states() == {1: "active", 2: "failed"}
+    k = g.stage(df.limit(1))
+    assert k == 3 and g.promote(k, 1) and g.read().count() == 1
+    last = g.stage(df)
+    assert g.promote(last, 3) and g.retain(1) == [1] and g.active() == 4 and g.states() == {2: "failed", 3: "retired", 4: "active"}
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    a, b = (S.Generations(spark, f"file://{tmp_path}/g") for _ in range(2))
+    x, y = a.stage(spark.range(1)), b.stage(spark.range(2))
+    assert x == y == 1 and a.promote(x, None) and not b.promote(y, None) and b.read().count() == 1
+
+
+def test_batches_rewrite_their_buckets_only(spark, tmp_path):
+    table = L.LatestTable(spark, f"file://{tmp_path}/t", buckets=8)
+    rows = lambda ids, mark: spark.createDataFrame([(mark + i, i, "article_updated", False) for i in ids], "event_id long, article_id long, change_kind string, tombstone boolean")
+    table.apply(rows(range(40), 0), 0)
+    before = table.store.parts(1)
+    table.apply(rows([3], 100), 1)
+    after = table.store.parts(2)
+    assert len(before) == len(after) == 8 and sum(before[k] != after[k] for k in before) == 1
+    assert {r.article_id: r.event_id for r in table.current().collect()} == {i: 103 if i == 3 else i for i in range(40)}
