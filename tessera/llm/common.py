@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -72,13 +73,28 @@ def _clean() -> None:
             break
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     w = df.write.mode("overwrite")
-    (w.partitionBy(*by) if by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (w.option("compression", codec) if codec else w).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    delete_path(table.sparkSession, table._written_to)
+    release(table.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished queries now: it goes by the driver's garbage collection,
+    which may be long in coming."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remainder(id_col: str, n: int):

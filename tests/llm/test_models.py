@@ -62,9 +62,10 @@ def test_code(lm):
     """A prefix code over all units, and units whose counts are those of the words."""
     model, rest, _, counts, _ = lm
     code = model.code
-    paths = ["".join(f"{n}:{int(b)} " for n, b in zip(code.node[f : f + s], code.bit[f : f + s], strict=True)) for f, s in zip(code.first, code.size, strict=True)]
-    assert len(set(paths)) == len(paths) and abs(sum(2.0**-s for s in code.size) - 1) < 1e-9
-    assert {tuple(p.split()) for p in paths} and not any(a != b and b.startswith(a) for a in paths[:50] for b in paths)
+    for k in range(mixing.KINDS):
+        paths = [tuple(code.steps[f : f + s].tolist()) for f, s in zip(code.first[k], code.size[k], strict=True)]
+        assert len(set(paths)) == len(paths) and abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-9
+        assert len({p[-1] >> 1 for p in paths if p}) == 1  # all begin at the root (paths are listed from the leaf)
     n = {bytes(r.word): r for r in counts.collect()}
     for w, c in zip(rest["words"], rest["n"], strict=True):
         assert n[w].n == c >= mixing.LEAST_COUNT and sum(n[w].by_kind) == c
@@ -127,14 +128,14 @@ def scored_by_loop(model, doc):
         for place, u in enumerate(chunk, begin):
             one = int(doc[place - 1]) + 1 if place else 0
             two = int(doc[place - 2]) + 1 if place > 1 else 0
-            for at in range(code.first[u], code.first[u] + code.size[u]):
-                node, bit = int(code.node[at]), float(code.bit[at])
+            for at in code.steps[code.first[kind, u] : code.first[kind, u] + code.size[kind, u]].tolist():
+                node, bit = at >> 1, float(at & 1)
                 h = node * 0x9E3779B1 % 2**32
                 last = mixed32((h + one * 0x85EBCA77) % 2**32)
                 pair = mixed32((h + one * 0x85EBCA77 + two * 0xC2B2AE3D + 1) % 2**32)
                 slot = mixed32(h) >> 32 - mixing.OWN_BITS
-                prior = 1 / (1 + np.exp(-float(code.by_kind[kind, node])))
-                x = [float(code.by_kind[kind, node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15]
+                prior = 1 / (1 + np.exp(-float(code.plain[node])))
+                x = [float(code.plain[node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15]
                 x.append(np.log((own[slot, 1] + mixing.OWN_PULL * prior) / (own[slot, 0] + mixing.OWN_PULL * (1 - prior))))
                 x = np.array([*x, 0.3])
                 n = own[slot, 0] + own[slot, 1]
@@ -174,7 +175,7 @@ def test_scores_against_a_loop(lm):
 def test_mixed_bits_are_a_distribution(lm):
     """Over all units that may stand first in a text the mixed bits' probabilities sum to 1."""
     model = lm[0]
-    total = sum(np.exp(mixing.walk_all([np.array([u], np.uint16)], model.walk)[0]) for u in range(len(model.code.size)))
+    total = sum(np.exp(mixing.walk_all([np.array([u], np.uint16)], model.walk)[0]) for u in range(model.code.size.shape[1]))
     assert abs(total - 1) < 1e-3
 
 
@@ -182,11 +183,12 @@ def test_mixing_makes_the_score(lm):
     """On held-out texts the mixed bits do better than the nodes' counts alone, and weights that move do better still."""
     model, *_, coded = lm
     docs = [np.frombuffer(r.units, np.uint16) for r in coded.where("not learnable").collect()]
-    code = model.code
-    ones = np.concatenate([code.bit[code.first[u] : code.first[u] + code.size[u]] for d in docs for u in d])
-    nodes = np.concatenate([code.node[code.first[u] : code.first[u] + code.size[u]] for d in docs for u in d])
-    plain = -np.log1p(np.exp(np.where(ones > 0, -code.plain[nodes], code.plain[nodes]))).sum()
-    assert mixing.walk_all(docs, model.walk).sum() > 0.97 * plain
+    plain = 0.0
+    for d in docs:
+        e = mixing.Events(model.code, model.bits, [d])
+        st = model.code.plain[e.node].astype(float)
+        plain -= np.log1p(np.exp(np.where(e.bit > 0, -st, st))).sum()
+    assert mixing.walk_all(docs, model.walk).sum() > plain
 
 
 def test_spelling(lm):
