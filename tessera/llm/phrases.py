@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -20,6 +21,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SMALL_ROWS = 200_000
 RAREST = 2
 NO_ID = -(2**63)
+MARK = "\x00"  # stands before a text's words; no word holds this character
 
 
 def raw_words(text: Column) -> Column:
@@ -27,8 +29,9 @@ def raw_words(text: Column) -> Column:
     return F.split(common.lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
-def count_words(text: Column) -> Column:
-    return F.regexp_count(common.lower_ascii(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS.replace("[", "[^", 1))).cast("long")
+def doc_key(id_col: Column, kind: T.DataType) -> Column:
+    """A document's id as a long: whole numbers as they are, others by their hash, null as ``NO_ID``."""
+    return F.coalesce(id_col.cast("long"), F.lit(NO_ID)) if isinstance(kind, T.IntegralType) else F.when(id_col.isNull(), F.lit(NO_ID)).otherwise(F.xxhash64(id_col))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -48,9 +51,17 @@ def windows(items: DataFrame, width: int, item_col: str = "item_id", text_col: s
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (id, h, pos, term) of the words in ``terms`` (word, term); a document is known by its
-    id and text hash, so rows that share an id don't mix. Written to the shared folder."""
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("h"), F.posexplode(raw_words(docs[text_col])).alias("pos", "word"))
-    return common.written(rows.join(small(terms, n_terms), "word").select("id", "h", "pos", "term"), "postings")
+    id (see :func:`doc_key`) and text hash, so rows that share an id don't mix. Every row of ``docs`` also has one row
+    at position -1, without a term, that holds its ``own_id`` and ``n_words``: texts are cut into words once. Written to
+    the shared folder."""
+    words = raw_words(docs[text_col])
+    src = docs.select(docs[id_col].alias("own_id"), doc_key(docs[id_col], docs.schema[id_col].dataType).alias("id"), F.xxhash64(docs[text_col]).alias("h"), words.alias("words"))
+    src = src.withColumn("n_words", F.size(F.filter("words", lambda w: w != "")).cast("long")).withColumn("words", F.concat(F.array(F.lit(MARK)), "words"))
+    src = src.select("own_id", "id", "h", "n_words", F.posexplode("words").alias("at", "word"))  # nothing else reads the words, so no row carries all of them
+    marked = terms.select("word", "term").unionByName(terms.sparkSession.createDataFrame([(MARK, None)], "word string, term long"))
+    rows = src.join(small(marked, n_terms + 1), "word")
+    only = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
+    return common.written(rows.select("id", "h", (F.col("at") - 1).alias("pos"), "term", only("own_id"), only("n_words")), "postings")
 
 
 def occurrences(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
@@ -90,8 +101,8 @@ def occurrences(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFram
 
 
 def judge(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``; id and
-    h, the text's xxhash64, tell rows apart.
+    """(id, key, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``; key (see
+    :func:`doc_key`) and h, the text's xxhash64, tell rows apart.
 
     A word inside any occurrence of an item's window is hit; positions in several occurrences count
     once. Null text has no words. Repeated rows get equal results; null ids are kept. Without items
@@ -112,10 +123,11 @@ def judge(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc
     named = pairs.join(small(win.select("phrase", "item").distinct(), win.count()), "phrase").select("id", "h", F.col("item").cast("string").alias("item")).distinct()
     named = named.groupBy("id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
-    own = docs.select(docs[id_col].alias("own_id"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("h"), count_words(docs[text_col]).alias("n_words"))
+    own = index.where("pos = -1").select("own_id", "id", "h", "n_words")
     out = own.join(hit.join(named, ["id", "h"]), ["id", "h"], "left")
     return out.select(
         F.col("own_id").alias("id"),
+        F.col("id").alias("key"),
         "h",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -126,5 +138,5 @@ def judge(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The verdicts of :func:`judge` without h, under the name of the id column."""
-    return judge(docs, items, width, id_col, text_col, item_col, item_text).drop("h").withColumnRenamed("id", id_col)
+    """The verdicts of :func:`judge` without key and h, under the name of the id column."""
+    return judge(docs, items, width, id_col, text_col, item_col, item_text).drop("key", "h").withColumnRenamed("id", id_col)

@@ -1,6 +1,6 @@
 """SimHash near-duplicates: segment-popcount embedding, grid join, exact check, components.
 
-A 64-bit fingerprint is embedded as the bit counts of its ``SEGMENTS`` segments. The Manhattan
+A 64-bit fingerprint is embedded as the bit counts of its ``SEGMENTS`` segments (twice as many for very many fingerprints). The Manhattan
 distance of two embeddings never exceeds the Hamming distance of the fingerprints, so it is a
 lower bound to search by. Two integer points within distance 2 have a grid point within distance 1
 of both: each fingerprint is entered in the grid cells of its radius-1 ball (1 + 2 x SEGMENTS rows
@@ -24,6 +24,9 @@ from . import common
 from .components import connected_components
 
 SEGMENTS = 16
+#: Beyond so many distinct fingerprints segments are half as long: 65 cells a fingerprint instead of 33, but 2^48
+#: likely embeddings instead of 2^32, so that cells of unrelated fingerprints stay small.
+FEW = 1 << 27
 CROWD = 64
 SEED = 42
 #: Fixed value: what white space is for this operator (space, and tab to carriage return).
@@ -112,12 +115,15 @@ def ball_cells(fp: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
     return np.concatenate([total, up, down], axis=1)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 20_000):
-            fp = b.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False)
-            c = ball_cells(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64).ravel()), pa.array(np.repeat(fp, c.shape[1]))], ["cell", "fp"])
+def _cells(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 20_000):
+                fp = b.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False)
+                c = ball_cells(fp.view(np.uint64), segments)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64).ravel()), pa.array(np.repeat(fp, c.shape[1]))], ["cell", "fp"])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +205,8 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     """(src, dst) fingerprint links (at most 2 bits apart) whose components are those of all such pairs."""
     spark = distinct_fp.sparkSession
     common.ship(spark)
-    grid = distinct_fp.select("fp").mapInArrow(_cells, "cell long, fp long")
+    segments = SEGMENTS if distinct_fp.count() <= FEW else 2 * SEGMENTS
+    grid = distinct_fp.select("fp").mapInArrow(_cells(segments), "cell long, fp long")
     met = grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_compare, "src long, dst long")
     met = common.written(met, "simhash-links")
     pairs = met.where("dst is not null").distinct()

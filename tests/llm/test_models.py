@@ -55,7 +55,7 @@ def lm(spark, sf_dir):
     code, rest = mixing.code_of(counts)
     speller = mixing.learn_speller(counts.where("n = 1"), rest["once"])
     coded = mixing.coded_texts(src, counts, rest, speller)
-    return mixing.learn_model(coded, code, rest["total"]), rest, speller, counts, coded
+    return mixing.learn_model(coded, code, rest["total"])[0], rest, speller, counts, coded
 
 
 def test_code(lm):

@@ -44,10 +44,11 @@ def test_simhash_odd(spark):
     assert [r.component_id for r in again] == [5, 5, 5]
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_simhash_links(spark, crowd, monkeypatch):
-    """Chains, crowded balls and far points keep exactly the components of all pairs."""
+@pytest.mark.parametrize(("crowd", "few"), [(2, simhash.FEW), (64, simhash.FEW), (64, 0)])
+def test_simhash_links(spark, crowd, few, monkeypatch):
+    """Chains, crowded balls and far points keep exactly the components of all pairs, with either length of segments."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
     fps = set(base.tolist())
@@ -82,6 +83,8 @@ def test_decontamination_odd(spark):
     assert phrases.decontaminate(odd(spark, []), sheet).count() == 0
     twice = phrases.decontaminate(odd(spark, [(8, "a cat"), (8, "a cat"), (8, "dog"), (None, "cat")]), sheet).collect()
     assert sorted((r.n_hit, r.n_words) for r in twice) == [(0, 1), (1, 1), (1, 2), (1, 2)]
+    named = spark.createDataFrame([("a", "a cat"), ("b", "dog"), (None, "cat"), ("", "dog")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_hit) for r in phrases.decontaminate(named, sheet).collect()) == [("", 0), ("None", 1), ("a", 1), ("b", 0)]
 
 
 def test_proximity(spark):
