@@ -102,7 +102,7 @@ def test_blocks(spark):
     """Tokens as numbers of a block's words; kinds of a block's texts by a plain loop."""
     texts = ["The cat  THE", None, "", "a\tb\x0bc", "é ñ É"]
     block = mixing.Block(texts)
-    assert [[block.words[c] for c in block.codes[f : f + s]] for f, s in zip(block.first, block.size, strict=True)] == [[*mixing.tokens(t), mixing.END] for t in texts]
+    assert [[block.words[int(c)].as_py() for c in block.codes[f : f + s]] for f, s in zip(block.first, block.size, strict=True)] == [[*mixing.tokens(t), mixing.END] for t in texts]
     kinds = mixing.Kinds([mixing.tokens(t) for t in ["a b c", "the cat", "the dog", "a b d"]])
     assert kinds.of(block).tolist() == [int((kinds.log_w + kinds.log_p @ kinds.vector(mixing.tokens(t))).argmax()) for t in texts]
 
