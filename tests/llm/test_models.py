@@ -172,6 +172,21 @@ def test_scores_against_a_loop(lm):
     assert (got < 0).all()
 
 
+def test_long_documents_go_span_by_span(lm, monkeypatch):
+    """A document's score doesn't depend on how many tokens are held at a time, nor do its tokens on how it is read."""
+    model = lm[0]
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 300, n).astype(np.uint16) for n in (1, 5, 900, 9000)]
+    want = model.walk(docs)
+    for most in (1, 700):
+        monkeypatch.setattr(mixing, "SPAN_TOKENS", most)
+        assert len(list(mixing.spans(docs))) > 3 and np.allclose(model.walk(docs), want, rtol=1e-6)
+    text = "one two\tthree  four" * 50
+    for size in (1, 7, 64):
+        assert [w for p in mixing.parts_of(text, size) for w in mixing.tokens(p)] == mixing.tokens(text)
+    assert np.allclose(lm[2].log_prob([b"ab" * 40_000, b"cat"])[1], lm[2].log_prob([b"cat"])[0])
+
+
 def test_mixed_bits_are_a_distribution(lm):
     """Over all units that may stand first in a text the mixed bits' probabilities sum to 1."""
     model = lm[0]
@@ -185,7 +200,7 @@ def test_mixing_makes_the_score(lm):
     docs = [np.frombuffer(r.units, np.uint16) for r in coded.where("not learnable").collect()]
     plain = 0.0
     for d in docs:
-        e = mixing.Events(model.code, model.bits, [d])
+        e = mixing.Events(model.code, model.bits, [d], 0, len(d), np.zeros((1, mixing.KINDS)))
         st = model.code.plain[e.node].astype(float)
         plain -= np.log1p(np.exp(np.where(e.bit > 0, -st, st))).sum()
     assert mixing.walk_all(docs, model.walk).sum() > plain
