@@ -135,7 +135,7 @@ def scored_by_loop(model, doc):
                 pair = mixed32((h + one * 0x85EBCA77 + two * 0xC2B2AE3D + 1) % 2**32)
                 slot = mixed32(h) >> 32 - mixing.OWN_BITS
                 prior = 1 / (1 + np.exp(-float(code.plain[node])))
-                x = [float(code.plain[node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15]
+                x = [float(code.plain[node]), model.slots[last >> 32 - model.bits] / 15, model.slots[(pair >> 32 - model.bits) + (1 << model.bits)] / 15 if code.level[node] < 2 else 0.0]
                 x.append(np.log((own[slot, 1] + mixing.OWN_PULL * prior) / (own[slot, 0] + mixing.OWN_PULL * (1 - prior))))
                 x = np.array([*x, 0.3])
                 n = own[slot, 0] + own[slot, 1]
