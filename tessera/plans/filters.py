@@ -40,7 +40,7 @@ SELECT article_id FROM judgment JOIN want ON prompt_id = p AND answer = a GROUP
 def filter_prompt_answers(spark, d):
     """Articles that match every chosen prompt by any of its values."""
     want = spark.createDataFrame([(1, "Yes", 0), (1, "maybe", 0), (2, "no", 1)], "prompt_id long, answer string, k int")
-    return L.divide(D.judgment(spark, d).join(F.broadcast(want), ["prompt_id", "answer"]), "article_id", "k", 2)
+    return L.divide(D.judgment(spark, d).join(F.broadcast(want), ["prompt_id", "answer"]), "article_id", "k", 2)  # a row for each value asked for
 
 
 _TOKENS = _A + """, tok AS (SELECT DISTINCT article_id, unnest(regexp_split_to_array(lower(strip_accents(title)), '[^a-z0-9]+')) AS token FROM article)
@@ -69,7 +69,8 @@ def search_substring(spark, d):
 
 @query(_A + ", last AS (SELECT year, created_s, article_id FROM article ORDER BY year DESC, created_s ASC, article_id ASC LIMIT 1 OFFSET 24)\nSELECT a.article_id, a.year, a.created_s FROM article a, last l WHERE a.year < l.year OR (a.year = l.year AND (a.created_s > l.created_s OR (a.created_s = l.created_s AND a.article_id > l.article_id))) ORDER BY a.year DESC, a.created_s, a.article_id LIMIT 26")
 def page_keyset(spark, d):
-    """the second page of 25 by a cursor, with one row more."""
+    """the second page of 25 by a cursor, with one row more. The client has the first page's rows and sends the
+    cursor of the last one back; here the page of 25 rows is fetched to make it."""
     a = D.article(spark, d).select("article_id", "year", "created_s")
     order = [("year", "desc"), ("created_s", "asc"), ("article_id", "asc")]
     row = L.page(a, order, 24).orderBy(F.desc("year"), "created_s", "article_id").collect()[24]
