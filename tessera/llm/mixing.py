@@ -12,10 +12,10 @@ its bytes are coded bit by bit from hashed contexts of the last 1, 2, 3 and 5 by
 the same way (:class:`Speller`).
 
 Everything learned is gathered from all training texts. Words are counted with the kind of document they are
-found in (an expectation-maximisation step over all documents; its start is fitted on a bounded sample). The
-counts are exact, shuffled, and only joined; broadcast are ``UNITS`` words, code tables, and the slots of
+found in (an expectation-maximisation step over all documents, which starts from a fit to how often two words of a
+document go together, summed over all of them). The counts are exact, shuffled, and only joined; broadcast are ``UNITS`` words, code tables, and the slots of
 hashed contexts, whose number follows the square root of the corpus up to a bound. Weights and maps are learned
-where the texts lie, from documents and words that the slots leave out, and averaged.
+where the texts lie, from documents and words that the slots leave out until then, and averaged.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -39,9 +40,12 @@ END = b"\n"  # the end of a text as a token; no word holds a line feed
 UNITS = 65_000
 LEAST_COUNT = 8
 KINDS = 6
-#: Where the kinds start: at most so many training documents, and their most frequent words.
-KIND_DOCS, KIND_WORDS = 1_500, 512
-#: One in so many training documents teaches weights instead of context counts.
+#: Kinds are told apart by the counts of so many cells of words, dealt by hash, so that no word is left out.
+CELLS = 512
+CELL_ROWS = 16  # of the sums of pairs of cells, sent together
+CELL_TEXTS = 256  # counted by cell at a time
+LONG = 4_096  # bytes of a word whose cell comes from its checksum
+#: One in so many training documents teaches weights before it is counted.
 TUNING = 16
 DELTA = 0.4
 PULL = 100.0  # a kind's counts lean on those of all documents with so many tokens
@@ -126,10 +130,10 @@ def slot_bits(total: int) -> int:
     return int(min(24, max(16, math.ceil(0.5 * math.log2(max(2, total))) + 6)))
 
 
-def summed_slots(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], slots: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched prediction in 1/15, class of how often seen) of each slot: every task adds up its own counts in an
-    array (zeros and ones by turns) and sends it in parts of ``PART`` slots, which are summed part by part; a sum takes as many
-    parts of some kilobytes as there are tasks, which are bounded."""
+def slot_counts(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], slots: int, tasks: int) -> DataFrame:
+    """(part, counts): zeros and ones by turns of ``PART`` slots. Every task adds up its own counts in an array and sends
+    it in parts, which are summed part by part; a sum takes as many parts of some kilobytes as there are tasks, which are
+    bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(2 * slots, np.int32)
@@ -137,17 +141,31 @@ def summed_slots(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.
         parts = seen.reshape(-1, 2 * PART)
         for some in np.array_split(np.flatnonzero(parts.any(axis=1)), 16):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some.tolist()], pa.binary())], ["part", "counts"])
+        del seen, parts
+        common.trim()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(2 * PART, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int32)
+        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    return rows.coalesce(tasks).mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+
+
+def summed_slots(counts: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched prediction in 1/15, class of how often seen) of each slot, from rows of :func:`slot_counts`."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros((PART, 2), np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int32).reshape(PART, 2)
+            total += np.frombuffer(x.as_buffer(), np.int64).reshape(PART, 2)
         seen = total.sum(axis=1)
         st = np.clip(np.rint(np.log((total[:, 1] + DELTA) / (total[:, 0] + DELTA)) * 15), -120, 120).astype(np.int8)
         sure = ((seen > 0).astype(np.int8) + (seen >= 4) + (seen >= 64)).astype(np.int8)
         return pa.table([table.column("part").slice(0, 1), pa.array([st.tobytes()], pa.binary()), pa.array([sure.tobytes()], pa.binary())], names=["part", "st", "sure"])
 
-    sums = rows.coalesce(tasks).mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, st binary, sure binary").toArrow()
+    sums = counts.groupBy("part").applyInArrow(add, "part int, st binary, sure binary").toArrow()
     out, sure = np.zeros((slots // PART, PART), np.int8), np.zeros((slots // PART, PART), np.int8)
     for at, a, b in zip(sums.column("part").to_pylist(), sums.column("st"), sums.column("sure"), strict=True):
         out[at], sure[at] = np.frombuffer(a.as_buffer(), np.int8), np.frombuffer(b.as_buffer(), np.int8)
@@ -157,44 +175,74 @@ def summed_slots(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.
 # --- kinds of documents ---
 
 
+def cell_of(words: pa.Array) -> np.ndarray:
+    """The cell of each word: the upper bits of a polynomial hash of its bytes, or its checksum if over ``LONG`` bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    first, size = ends[:-1], np.diff(ends)
+    if len(far := np.flatnonzero(size > LONG)):
+        out = np.empty(len(words), np.int64)
+        near = np.flatnonzero(size <= LONG)
+        out[near] = cell_of(words.take(pa.array(near)))
+        out[far] = [zlib.crc32(words[i].as_buffer()) % CELLS for i in far.tolist()]
+        return out
+    flat = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    first = first - ends[0]
+    with np.errstate(over="ignore"):
+        flat *= np.cumprod(np.full(int(size.max()), _M)).take(np.arange(len(flat)) - np.repeat(first, size))
+        known = np.add.reduceat(flat, first)  # no word is empty
+        known ^= known >> np.uint64(32)
+        known *= _M
+    return (known >> np.uint64(32)).astype(np.int64) % CELLS
+
+
+def cell_pairs(x: np.ndarray) -> np.ndarray:
+    """How often two tokens of a text fall in two cells, summed over texts (rows of counts by cell): of each text all
+    ordered pairs of its tokens, weighed so that they come to as many as it has tokens."""
+    size = x.sum(axis=1)
+    x = x[size > 1] / np.sqrt(size[size > 1] - 1.0)[:, None]
+    y = x.astype(np.float32)
+    return (y.T @ y).astype(float)
+
+
 class Kinds:
-    """Kinds of documents: a mixture of word distributions, started on a sample's most frequent words."""
-
-    def __init__(self, texts: list[list[bytes]], rounds: int = 25):
-        seen = Counter(w for t in texts for w in t)
-        self.words = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:KIND_WORDS])}
-        n = max(1, len(self.words))
-        x = np.stack([self.vector(t) for t in texts]) if texts else np.zeros((0, n), np.float32)
-        whole = x.sum(axis=0) + 1
-        centre = np.tile(whole / whole.sum(), (KINDS, 1))
-        if len(texts):  # spread out: each start is a document that the former fit worst
-            fit, size = x @ np.log(centre[0]), np.maximum(1, x.sum(axis=1))
-            for k in range(KINDS):
-                worst = int(np.argmin(np.where(size >= np.median(size), fit / size, 0)))
-                centre[k] = (x[worst] + 20 * whole / whole.sum()) / (x[worst].sum() + 20)
-                fit = np.maximum(fit, x @ np.log(centre[k])) if k else x @ np.log(centre[0])
-        self.log_p, self.log_w = np.log(centre), np.full(KINDS, -math.log(KINDS))
-        for _ in range(rounds if len(texts) else 0):
-            g = x @ self.log_p.T + self.log_w
-            g = np.exp(g - g.max(axis=1, keepdims=True))
-            g /= g.sum(axis=1, keepdims=True)
-            p = g.T @ x + 20 * whole / whole.sum()
-            self.log_p = np.log(p / p.sum(axis=1, keepdims=True))
-            self.log_w = np.log((g.sum(axis=0) + 1) / (len(texts) + KINDS))
+    """Kinds of documents: a mixture of distributions over cells of words.
+
+    It is fitted on ``pairs``, the sums of :func:`cell_pairs` over the texts to learn from (or those of ``texts``), by
+    expectation maximisation: two tokens of a text share its kind, and nothing else. A cell's pairs with itself, mostly
+    one word that a text repeats, are left to the model."""
+
+    def __init__(self, texts: list[list[bytes]] = (), pairs: np.ndarray | None = None, rounds: int = 200):
+        if pairs is None:
+            pairs = cell_pairs(np.stack([self.vector(t) for t in texts])) if texts else np.zeros((CELLS, CELLS))
+        pairs = pairs.copy()
+        np.fill_diagonal(pairs, 0.0)
+        mass = pairs.sum(axis=1)
+        whole = (mass + 1) / (mass + 1).sum()
+        rows = (pairs + whole) / (mass + 1)[:, None]
+        # spread out: each start is a cell's row of pairs that the former fit worst
+        centre, own = [], (rows * np.log(rows)).sum(axis=1)
+        far = mass * (own - rows @ np.log(whole))
+        for _ in range(KINDS):
+            centre.append((rows[int(np.argmax(far))] + whole) / 2)
+            far = np.minimum(far, mass * (own - rows @ np.log(centre[-1])))
+        p, w = np.stack(centre), np.full(KINDS, 1 / KINDS)
+        for _ in range(rounds if mass.any() else 0):
+            ratio = pairs / (p.T @ (w[:, None] * p))
+            np.fill_diagonal(ratio, 1.0)
+            g = w[:, None] * p * (p @ ratio)
+            w = (g.sum(axis=1) + 1) / (g.sum() + KINDS)
+            p = g + 20 * whole
+            p /= p.sum(axis=1, keepdims=True)
+        self.log_p, self.log_w = np.log(p), np.log(w)
 
     def vector(self, words: list[bytes]) -> np.ndarray:
-        index = self.words
-        return np.bincount([index[w] for w in words if w in index], minlength=max(1, len(index))).astype(np.float32)
+        return np.bincount(cell_of(pa.array(words, pa.binary())), minlength=CELLS).astype(np.float32)
 
     def of(self, block: Block) -> np.ndarray:
         """The likeliest kind of each text of a block."""
-        if not self.words:
-            return np.full(len(block.size), int(self.log_w.argmax()))
-        at = block.found(pa.array(list(self.words), pa.binary()))[block.codes]
-        seen = np.flatnonzero(at >= 0)
-        cell = np.repeat(np.arange(len(block.size)), block.size)[seen] * len(self.words) + at[seen]
-        counts = np.bincount(cell, minlength=len(block.size) * len(self.words)).reshape(len(block.size), -1)
-        return (counts @ self.log_p.T + self.log_w).argmax(axis=1)
+        return np.concatenate([(x @ self.log_p.T + self.log_w).argmax(axis=1) for x in block.cells()])
 
 
 class Block:
@@ -222,6 +270,16 @@ class Block:
         """For each of the block's words its place in ``words``, or -1."""
         return pc.fill_null(pc.index_in(self.words, value_set=words), -1).to_numpy(zero_copy_only=False)
 
+    def cells(self) -> Iterator[np.ndarray]:
+        """How many words of each text, without its end, are in each cell, a few texts at a time."""
+        cell = cell_of(self.words)
+        codes = np.delete(self.codes, self.first + self.size - 1)
+        ends = np.append(0, np.cumsum(self.size - 1))
+        for at in range(0, len(self.size), CELL_TEXTS):
+            n = min(CELL_TEXTS, len(self.size) - at)
+            doc = np.repeat(np.arange(n), self.size[at : at + n] - 1)
+            yield np.bincount(doc * CELLS + cell[codes[ends[at] : ends[at + n]]], minlength=n * CELLS).reshape(n, CELLS)
+
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``BLOCK_BYTES`` of text."""
@@ -230,12 +288,29 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def start_kinds(texts: DataFrame) -> Kinds:
-    """Kinds fitted on at most ``KIND_DOCS`` distinct texts, those of least hash."""
-    total = texts.count()
-    share = min(1.0, (1.2 * KIND_DOCS + 50) / max(1, total))
-    rows = texts.where("text is not null").select(F.xxhash64("text").alias("k"), "text").where(F.col("k") <= min(2**63 - 1, -(2**63) + int(2**64 * share)))
-    got = rows.groupBy("k").agg(F.min("text").alias("text")).orderBy("k").limit(KIND_DOCS).collect()
-    return Kinds([tokens(r.text) for r in got])
+    """Kinds fitted on all rows of ``texts`` (text). Every task adds up the pairs of cells of its own texts, and sends
+    the upper half in parts of ``CELL_ROWS`` rows, which are summed part by part."""
+    common.ship(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CELLS, CELLS))
+        for b in blocks(batches):
+            for x in Block(b.column(0).to_pylist()).cells():
+                sums += cell_pairs(x)
+        common.trim()
+        if sums.any():
+            at = range(0, CELLS, CELL_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([sums[i : i + CELL_ROWS, i:].tobytes() for i in at], pa.binary())], ["part", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table.column("sums"))
+        return pa.table([table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    got = texts.mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").toArrow()
+    pairs = np.zeros((CELLS, CELLS))
+    for at, x in zip(got.column("part").to_pylist(), got.column("sums"), strict=True):
+        pairs[at : at + CELL_ROWS, at:] = np.frombuffer(x.as_buffer()).reshape(CELL_ROWS, -1)
+    return Kinds(pairs=np.triu(pairs) + np.triu(pairs, 1).T)
 
 
 def word_counts(texts: DataFrame, kinds: Kinds) -> DataFrame:
@@ -259,11 +334,11 @@ def word_counts(texts: DataFrame, kinds: Kinds) -> DataFrame:
             if size > HELD_ROWS:
                 yield from flush()
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()  # workers live on, and stand beside others in an executor
+                common.trim()
         if held:
             yield from flush()
         held = []
-        pa.default_memory_pool().release_unused()
+        common.trim()
 
     rows = texts.mapInArrow(count, "word binary, kind int, n long")
     by_kind = F.array(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)) for i in range(KINDS)])
@@ -609,8 +684,8 @@ class Speller:
 
 
 def learn_speller(once: DataFrame, n_once: int) -> Speller:
-    """From the words seen once, each standing for one never seen: seven in eight fill the slots, the others teach
-    the weights, where they lie."""
+    """From the words seen once, each standing for one never seen: seven in eight fill the slots while the others teach
+    the weights, where they lie; then those are counted too."""
     spark = once.sparkSession
     bits = min(22, slot_bits(8 * n_once))
     tuning = F.pmod(F.xxhash64("word"), F.lit(8)) == 0
@@ -622,8 +697,9 @@ def learn_speller(once: DataFrame, n_once: int) -> Speller:
                 bit, slot, _ = _spelled(words[s], bits)
                 np.add.at(seen, (2 * slot + bit[:, None].astype(np.int64)).ravel(), np.int32(1))
 
-    slots = summed_slots(once.where(~tuning).select("word"), count, SPELLINGS << bits, max(1, min(1 << 14, n_once // 500_000)))
-    sent = spark.sparkContext.broadcast(slots)
+    tasks = max(1, min(1 << 14, n_once // 500_000))
+    counts = common.written(slot_counts(once.where(~tuning).select("word"), count, SPELLINGS << bits, tasks), "spelling-counts", codec="zstd")
+    sent = spark.sparkContext.broadcast(summed_slots(counts, SPELLINGS << bits))
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller, n = Speller(bits, *sent.value), 0
@@ -635,11 +711,12 @@ def learn_speller(once: DataFrame, n_once: int) -> Speller:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([speller.start.flat().tolist()])], ["weight", "values"])
 
-    out = Speller(bits, *slots)
     taught = mean_of(once.where(tuning).select("word").mapInArrow(teach, "weight double, values array<double>"))
+    sent.destroy()
+    out = Speller(bits, *summed_slots(counts.union(slot_counts(once.where(tuning).select("word"), count, SPELLINGS << bits, max(1, tasks // 8))), SPELLINGS << bits))
     if taught is not None:
         out.start.set(taught)
-    sent.destroy()
+    common.forget(counts)
     return out
 
 
@@ -776,6 +853,8 @@ def coded_texts(src: DataFrame, counts: DataFrame, rest: dict, speller: Speller)
                 pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array([flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), block.size.tolist(), strict=True)], pa.binary()),
                 pa.array([rare[x:y].tobytes() for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary()),
             ], names)
+        block = texts = flat = rare = None
+        common.trim()
 
     tuning = F.coalesce(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(TUNING)) == 0, F.lit(False))
     table = src.select("id", "text", "learnable", tuning.alias("tuning")).mapInArrow(cut, f"block long, local int, word binary, id {kind}, learnable boolean, tuning boolean, n_bytes long, units binary, rare binary")
@@ -822,9 +901,10 @@ def _left_out(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def learn_model(coded: DataFrame, code: Code, total: int) -> tuple[Model, Callable[[], Model]]:
-    """The model, and a small function that makes it in a worker. Context counts come from all training texts but one in
-    ``TUNING``; weights and map from those, learned where they lie in one or more passes and averaged by the number of
-    steps. Code and slots, the large parts, are broadcast once each."""
+    """The model, and a small function that makes it in a worker. Weights and map are learned on one training text in
+    ``TUNING``, where they lie in one or more passes, and averaged by the number of steps, with the context counts of
+    the others; then those texts are counted too, so that a score has the counts of all. Code and slots, the large
+    parts, are broadcast, once and twice."""
     spark = coded.sparkSession
     bits = slot_bits(total)
     train = coded.where("learnable")
@@ -841,11 +921,12 @@ def learn_model(coded: DataFrame, code: Code, total: int) -> tuple[Model, Callab
                     np.add.at(seen, 2 * e.last + bit, np.int32(1))  # of the same type, else it takes many times as long
                     np.add.at(seen, 2 * e.pair + bit[e.upper], np.int32(1))
 
-    slots = summed_slots(train.where("not tuning").select("units", "places", "instead"), count, 2 << bits, max(1, min(1 << 14, total // TASK_TOKENS)))
-    filled = spark.sparkContext.broadcast(slots)
+    tasks = max(1, min(1 << 14, total // TASK_TOKENS))
+    counts = common.written(slot_counts(train.where("not tuning").select("units", "places", "instead"), count, 2 << bits, tasks), "slot-counts", codec="zstd")
+    others = spark.sparkContext.broadcast(summed_slots(counts, 2 << bits))
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, start, n = Model(sent.value, bits, *filled.value), Refined(GATES, PREDICTORS, LEVELS), 0
+        model, start, n = Model(sent.value, bits, *others.value), Refined(GATES, PREDICTORS, LEVELS), 0
         for b in batches:
             docs = _left_out(b)
             size = np.array([len(d) for d in docs])
@@ -860,6 +941,9 @@ def learn_model(coded: DataFrame, code: Code, total: int) -> tuple[Model, Callab
     taught = mean_of(train.where("tuning").select("units", "places", "instead").mapInArrow(teach, "weight double, values array<double>"))
     if taught is not None:
         start.set(taught)
+    others.destroy()
+    filled = spark.sparkContext.broadcast(summed_slots(counts.union(slot_counts(train.where("tuning").select("units", "places", "instead"), count, 2 << bits, max(1, tasks // TUNING))), 2 << bits))
+    common.forget(counts)
 
     def make() -> Model:
         model = Model(sent.value, bits, *filled.value)

@@ -107,6 +107,52 @@ def test_blocks(spark):
     assert kinds.of(block).tolist() == [int((kinds.log_w + kinds.log_p @ kinds.vector(mixing.tokens(t))).argmax()) for t in texts]
 
 
+def test_kinds_come_from_all_texts(spark, monkeypatch):
+    """Pairs of cells are those of a plain loop over every text, whatever the tasks; two vocabularies are told apart however
+    many copies and odd rows there are, and the cell of a word is that of a plain loop over its bytes."""
+    rng = np.random.default_rng(4)
+    vocabulary = [[f"{c}{i}" for i in range(40)] for c in ("left", "r\u00efght")]
+    rows = [" ".join(rng.choice(vocabulary[k % 2], 30)) for k in range(1700)] + ["same text again"] * 300 + [None, "", "one", "a " + 5_000 * "b"]
+    taken = []
+    monkeypatch.setattr(mixing, "Kinds", lambda pairs, real=mixing.Kinds: taken.append(pairs) or real(pairs=pairs))
+    kinds = mixing.start_kinds(spark.createDataFrame([(t,) for t in rows], "text string").repartition(5))
+    assert [mixing.start_kinds(spark.createDataFrame(some, "text string")).log_w.shape for some in ([], [(None,)])] == [(mixing.KINDS,)] * 2
+
+    def cell(word):
+        if len(word) > mixing.LONG:
+            return zlib.crc32(word) % mixing.CELLS
+        known = 0
+        for i, b in enumerate(word):
+            known = (known + (b + 1) * pow(0x9E3779B97F4A7C15, i + 1, 2**64)) % 2**64
+        return ((known ^ known >> 32) * 0x9E3779B97F4A7C15 % 2**64 >> 32) % mixing.CELLS
+
+    want = np.zeros((mixing.CELLS, mixing.CELLS))
+    for t in rows:
+        x = np.bincount([cell(w) for w in mixing.tokens(t)], minlength=mixing.CELLS)
+        want += np.outer(x, x) / max(1, x.sum() - 1) if x.sum() > 1 else 0
+    assert np.allclose(taken[0], want, rtol=1e-5)
+    got = kinds.of(mixing.Block(rows[:1700]))
+    assert not set(got[::2]) & set(got[1::2])
+
+
+def test_slots_hold_all_training_texts(lm):
+    """Slots are filled by every training text, those that taught the weights too: by a plain loop over all of them."""
+    model, _, _, _, coded = lm
+    zero_one = np.zeros((2 << (model.bits + 1)), np.int64)
+    for r in coded.where("learnable").select("units", "places", "instead").collect():
+        units = np.frombuffer(r.units, np.uint16).copy()
+        units[np.frombuffer(r.places, np.uint32)] = np.frombuffer(r.instead, np.uint16)
+        known = np.zeros((1, mixing.KINDS))
+        for begin, end in mixing.spans([units]):
+            e = mixing.Events(model.code, model.bits, [units], begin, end, known)
+            np.add.at(zero_one, 2 * e.last + e.bit.astype(np.int64), 1)
+            np.add.at(zero_one, 2 * e.pair + e.bit[e.upper].astype(np.int64), 1)
+    n0, n1 = zero_one[::2], zero_one[1::2]
+    st = np.clip(np.rint(np.log((n1 + mixing.DELTA) / (n0 + mixing.DELTA)) * 15), -120, 120)
+    sure = sum((n0 + n1 >= k).astype(int) for k in (1, 4, 64))
+    assert (model.slots == np.rint(st * (sure / 3.0))).all() and coded.where("tuning and learnable").count() > 5
+
+
 def mixed32(x):
     x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
     x = (x ^ x >> 13) * 0x297A2D39 % 2**32
