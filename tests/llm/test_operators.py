@@ -327,6 +327,29 @@ def test_fingerprints(spark, sf_dir):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.2
 
 
+def test_whole_likeness(spark, sf_dir):
+    """Of all digests, whatever the step: exact for each row, also where the fingerprints' likeness is of a sample."""
+    want = brute.edited(docs_of(spark, sf_dir))
+    got = by(queries.op10_document_fingerprints(spark, sf_dir))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, texts in want.items():
+        r, (own, edited, following) = got[i], map(brute.digests, texts)
+        assert (r.digests, r.edited_digests) == (sorted(own), sorted(edited))
+        assert r.whole_near_edited == pytest.approx(jaccard(own, edited), abs=1e-12)
+        assert r.whole_near_next == pytest.approx(jaccard(own, following), abs=1e-12)
+    assert len(got) == len(want) and sum(r.edited_step > 0 and abs(r.near_edited - r.whole_near_edited) > 1e-9 for r in got.values()) >= 10
+
+
+def test_whole_likeness_over_buckets(spark, monkeypatch):
+    """A bucket's last row takes the next one's digests from its edge; empty and null texts have none."""
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
+    rows = [(k * k * 7 - 50, " ".join(f"Line {j * (k % 3 + 1)}." for j in range(400)) if k % 5 else None) for k in range(40)]
+    want, got = brute.edited(rows), by(fingerprint.edited_versions(odd(spark, rows)))
+    for i, (text, _, following) in want.items():
+        a, b = brute.digests(text), brute.digests(following)
+        assert got[i].whole_near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=1e-12)
+
+
 def test_fingerprint_peeling(spark):
     """Few differing digests come out exactly, many leave an estimate near the truth."""
     rng = np.random.default_rng(2)
